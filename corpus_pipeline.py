@@ -6,23 +6,41 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import exactdedup, packing
+from marlstone.llm import exactdedup, jaccard, packing, secret_scan, toxicity
 from marlstone.llm.common import documents, shared_dir
 from marlstone.llm.queries import BYTE_BPE
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go."""
+    return toxicity.without_toxic(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), folds=5))
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts equal without white space, one document stays."""
     return exactdedup.deduplicated(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links of similar five-word shingle sets connect, the one with the smallest doc_id stays."""
+    return jaccard.one_of_each(docs, shingle=5, percent=80)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; found secrets are masked."""
+    return secret_scan.redacted(docs, secret_scan.fit(docs))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of 1024 ids; one row per piece."""
     return packing.pack(docs, BYTE_BPE, capacity=1024)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
     ("exact_dedup", drop_copies),
+    ("jaccard_join", drop_near_copies),
+    ("secret_scan", mask_secrets),
     ("best_fit_packing", pack),
 ]
 

@@ -112,7 +112,7 @@ def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Itera
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < batch.num_rows:
             before = sizes[at - 1] if at else 0
@@ -188,3 +188,38 @@ def mix(x: np.ndarray) -> np.ndarray:
         x *= np.uint64(factor)
     x ^= x >> np.uint64(31)
     return x
+
+
+def filled_text(batch: pa.RecordBatch) -> pa.Array:
+    """The texts of a batch of any columns, null as empty."""
+    return pc.fill_null(batch.column("text").cast(pa.string()), "")
+
+
+def keep_rows(docs: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], np.ndarray]]) -> DataFrame:
+    """The rows, with all their columns, for which the function that ``make`` builds in the task says True."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test = make()
+        for batch in chunks(batches):
+            yield batch.filter(pa.array(test(batch)))
+
+    return docs.mapInArrow(task, docs.schema)
+
+
+def remainder(column: str, n: int):
+    """crc32 of a column as text, modulo n; null counts as an empty text."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
+
+
+def words(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Words between ASCII white space: the distinct ones, the number of each word in turn, and words per text."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    flat, counts = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    there = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0
+    if not there.all():
+        gone = np.concatenate([[0], np.cumsum(~there)])
+        ends = np.cumsum(counts)
+        counts = counts - (gone[ends] - gone[ends - counts])
+        flat = flat.filter(pa.array(there))
+    numbered = flat.dictionary_encode()
+    return numbered.dictionary, numbered.indices.to_numpy(zero_copy_only=False).astype(np.int64), counts

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import keyed_text, over_chunks, shared_dir, task_number
-from marlstone.llm.wordcache import WordEncoder
+from marlstone.llm.wordcache import word_encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -126,7 +126,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> Data
     """The pieces of every document, each with its task's number and its rank there among pieces as long."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        encoder, seen, task = WordEncoder(path), np.zeros(capacity + 1, np.int64), task_number()
+        encoder, seen, task = word_encoder(path), np.zeros(capacity + 1, np.int64), task_number()
         for part in parts:
             ids, n = encoder.encode(part.column("text"))
             first = np.cumsum(n) - n

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.common import get_arrays, keyed_text, over_chunks, put_arrays, shared_dir, task_number
 from marlstone.llm.eliasfano import EliasFano
-from marlstone.llm.wordcache import WordEncoder
+from marlstone.llm.wordcache import word_encoder
 
 #: doc_ids are stored as unsigned distances from the smallest one.
 _LEAST = np.iinfo(np.int64).min
@@ -70,7 +70,7 @@ def write_files(docs: DataFrame, path: str, place: str, end_id: int = 2, file_id
     """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        encoder, task, held, size, number = WordEncoder(path), task_number(), [], 0, 0
+        encoder, task, held, size, number = word_encoder(path), task_number(), [], 0, 0
         wide = encoder.tokenizer.get_vocab_size() > 1 << 16 or end_id >= 1 << 16
 
         def flush() -> dict:

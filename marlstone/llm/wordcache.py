@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +23,9 @@ _EDGE = r"^$|^\s|\s$"
 
 
 class WordEncoder:
-    """``path``: a tokenizer file with a byte-level pre-tokenizer. ``limit``: words kept in the cache."""
+    """``path``: a tokenizer file with a byte-level pre-tokenizer. ``limit``: from so many words on, the cache takes no more."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -32,9 +33,6 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.limit = limit
-        self._clear()
-
-    def _clear(self) -> None:
         self.known: dict[str, int] = {}
         self.starts, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
@@ -70,17 +68,25 @@ class WordEncoder:
         first = np.cumsum(counts) - counts
         words = flat.dictionary_encode()
         values = words.dictionary.to_pylist()
-        if len(self.known) + len(values) > self.limit:
-            self._clear()
-        missing = [v for v in values if v not in self.known]
-        if missing:
-            n, ids = self._library([" " + v for v in missing])
-            base = len(self.starts) - 1
+        known = self.known.get
+        code = np.fromiter((known(v, -1) for v in values), np.int64, len(values))
+        new = np.flatnonzero(code < 0)
+        missing = [values[i] for i in new.tolist()]
+        n, ids = self._library([" " + v for v in missing])
+        base = len(self.starts) - 1
+        code[new] = base + np.arange(len(new))
+        starts, store = np.concatenate([self.starts, self.starts[-1] + np.cumsum(n)]), np.concatenate([self.ids, ids])
+        if len(self.known) < self.limit:
             self.known.update(zip(missing, range(base, base + len(missing)), strict=True))
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(n)])
-            self.ids = np.concatenate([self.ids, ids])
-        code = np.fromiter(map(self.known.__getitem__, values), np.int64, len(values))[words.indices.to_numpy(zero_copy_only=False)]
+            self.starts, self.ids = starts, store
+        code = code[words.indices.to_numpy(zero_copy_only=False)]
         n, ids = self._library(flat.take(pa.array(first)).to_pylist())  # a text's first part has no space before it
-        begin, size = self.starts[code], self.starts[code + 1] - self.starts[code]
-        begin[first], size[first] = len(self.ids) + np.cumsum(n) - n, n
-        return np.concatenate([self.ids, ids])[ranges(begin, size)], np.add.reduceat(size, first)
+        begin, size = starts[code], starts[code + 1] - starts[code]
+        begin[first], size[first] = len(store) + np.cumsum(n) - n, n
+        return np.concatenate([store, ids])[ranges(begin, size)], np.add.reduceat(size, first)
+
+
+@lru_cache(maxsize=2)
+def word_encoder(path: str) -> WordEncoder:
+    """One encoder for all tasks that a worker runs."""
+    return WordEncoder(path)
