@@ -101,8 +101,8 @@ def keyed_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in pieces of about ``limit`` bytes of text; a longer text is a piece of its own."""
+def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The same rows in pieces of about ``limit`` bytes of ``column``; a longer value is a piece of its own."""
     waiting: list[pa.RecordBatch] = []
     held = 0
 
@@ -112,7 +112,7 @@ def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Itera
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < batch.num_rows:
             before = sizes[at - 1] if at else 0

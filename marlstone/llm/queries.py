@@ -7,13 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import bpe, exactdedup, jaccard, packing, quality, secret_scan, suffix_dedup, tokenids, toxicity
+from marlstone.llm import bpe, exactdedup, jaccard, ngram_lm, packing, quality, secret_scan, suffix_dedup, tokenids, toxicity
 from marlstone.llm.common import documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, rows = ngram_lm.fit(documents(spark, sf_dir), folds=10)
+    return ngram_lm.score(model, rows)
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_bytes(documents(spark, sf_dir), length=200)
 
