@@ -28,6 +28,7 @@ from marlstone.llm.common import keyed_text, mix, over_chunks, shared_dir, strin
 
 WHITE = bytes([0x20, *range(0x09, 0x0E)])
 _LAST = np.iinfo(np.int64).max
+RUNS = "is_entry int, entry long, key binary, sha256 binary, n long, chars long, doc long"
 
 
 class Bloom:
@@ -75,6 +76,9 @@ class LsmIndex:
         self.held += len(text) + 200
         return self.entries - 1
 
+    def full(self) -> bool:
+        return self.held >= self.limit
+
     def flush(self) -> np.ndarray:
         """The memtable as a run, sorted by digest; it is empty then."""
         run = np.array([(d, *v[1:]) for d in sorted(self.memtable) for v in self.memtable[d]], self.kind)
@@ -135,12 +139,12 @@ def _index(docs: DataFrame, digest_bytes: int, memtable_bytes: int) -> DataFrame
             docs_ = part.column("doc").to_pylist()
             entry = [index.add(*row) for row in zip(sha, texts, chars, docs_, strict=True)]
             yield {"is_entry": [0] * len(sha), "entry": np.array(entry) + task, "key": pa.nulls(len(sha), pa.binary()), "sha256": sha, "n": [1] * len(sha), "chars": chars, "doc": docs_}
-            if index.held >= index.limit:
+            if index.full():
                 yield entries()
         if index.memtable:
             yield entries()
 
-    return over_chunks(_with_key(docs), run, "is_entry int, entry long, key binary, sha256 binary, n long, chars long, doc long")
+    return over_chunks(_with_key(docs), run, RUNS)
 
 
 def _compacted(entries: DataFrame, digest_bytes: int) -> DataFrame:
@@ -197,7 +201,7 @@ def exact_duplicates(docs: DataFrame, digest_bytes: int = 32, memtable_bytes: in
     spark = docs.sparkSession
     place = shared_dir(spark)
     _index(docs, digest_bytes, memtable_bytes).write.partitionBy("is_entry").parquet(f"{place}/runs")
-    runs = spark.read.parquet(f"{place}/runs")
+    runs = spark.read.schema(RUNS).parquet(f"{place}/runs")
     _compacted(runs.where("is_entry = 1"), digest_bytes).write.parquet(f"{place}/index")
     index = spark.read.parquet(f"{place}/index")
     several = index.where("alike > 1")

@@ -34,6 +34,7 @@ from marlstone.llm.components import components
 
 _FILE_BITS, _INDEX_BITS = 12, 25
 _FILE_ELEMENTS = 1 << 22
+ROWS = "is_set int, entry long, n long, a long, b long, doc_id long"
 
 
 def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +127,7 @@ def _sets(docs: DataFrame, size: int, place: str) -> DataFrame:
         if held:
             yield flush()
 
-    return over_chunks(keyed_text(docs), run, "is_set int, entry long, n long, a long, b long, doc_id long")
+    return over_chunks(keyed_text(docs), run, ROWS)
 
 
 @lru_cache(maxsize=4096)
@@ -305,7 +306,7 @@ def similar_groups(docs: DataFrame, shingle: int = 4, percent: int = 85, common:
     place = shared_dir(spark)
     sets = f"{place}/sets"
     _sets(docs, shingle, sets).write.partitionBy("is_set").parquet(f"{place}/rows")
-    rows = spark.read.parquet(f"{place}/rows")
+    rows = spark.read.schema(ROWS).parquet(f"{place}/rows")
     same = rows.where("is_set = 1").groupBy("a", "b").agg(F.min("entry").alias("class"), F.min("doc_id").alias("least"), F.min("n").alias("n"))
     rows.where("is_set = 1").select("entry", "a", "b").join(same, ["a", "b"]).select("entry", "class", "least", "n").write.parquet(f"{place}/classes")
     members = spark.read.parquet(f"{place}/classes")

@@ -8,7 +8,7 @@ Features are a text's distinct words and their first four to six letters, hashed
 the logistic function of the sum over its distinct words, so a long text isn't diluted.
 
 Defined cases: a null or empty text gets the score of the bias alone; without any confirmed toxic
-row in the training part all scores are 0; ties and repeated rows are scored alike; an empty table
+row in the training part all scores are practically 0 (under 1e-200); ties and repeated rows are scored alike; an empty table
 gives no rows; columns other than doc_id and text are never inputs.
 """
 
@@ -120,18 +120,23 @@ def _split(gp: np.ndarray, gu: np.ndarray, prior: float) -> float:
     return float(middle[best[np.argmax(gaps[best])]])
 
 
-def _sets(rows: DataFrame) -> list[np.ndarray]:
+def _sets(rows: DataFrame, only: np.ndarray | None = None) -> list[np.ndarray]:
+    """The feature sets of a bounded number of texts; with ``only``, of these (ascending) features."""
+
     def make():
         def run(part: pa.RecordBatch) -> dict:
             distinct, code, counts = words(pc.utf8_lower(part.column("text")))
             each = [features(w) for w in distinct.to_pylist()]
+            if only is not None:
+                listed = set(only.tolist())
+                each = [f & listed for f in each]
             ends = np.cumsum(counts).tolist()
-            out = [np.array(sorted(set().union(*(each[c] for c in set(code[e - n : e].tolist())))), "<i8").tobytes() for e, n in zip(ends, counts.tolist(), strict=True)]
+            out = [np.array(sorted(set().union(*(each[c] for c in set(code[e - n : e].tolist())))), "<u4").tobytes() for e, n in zip(ends, counts.tolist(), strict=True)]
             return {"features": out}
 
         return run
 
-    return [np.frombuffer(r.features, "<i8") for r in per_chunk(rows, make, "features binary").collect()]
+    return [np.frombuffer(r.features, "<u4").astype(np.int64) for r in per_chunk(rows, make, "features binary").toLocalIterator()]
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, most_positive: int = 2000, most_unlabelled: int = 6000) -> ToxicityModel:
@@ -148,10 +153,11 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, most_positive: int =
         return ToxicityModel({}, -1000.0)
     prior = min(0.9, max(0.001, count.bad / count.n))
     order = F.xxhash64("doc_id")
-    toxic = known.where("bad").dropDuplicates(["doc_id"]).orderBy(order, "doc_id").limit(4 * most_positive)
-    positive = _sets(train.join(F.broadcast(toxic), "doc_id", "left_semi").limit(most_positive))
+    toxic = known.where("bad").select("doc_id").distinct().orderBy(order, "doc_id").limit(most_positive)
+    positive = _sets(train.join(F.broadcast(toxic), "doc_id", "left_semi"))
+    names, seen = np.unique(np.concatenate([np.zeros(0, np.int64), *positive]), return_counts=True)
     chosen = train.select("doc_id").dropna().orderBy(order, "doc_id").limit(most_unlabelled).distinct()
-    unlabelled = _sets(train.join(F.broadcast(chosen), "doc_id", "left_semi").limit(2 * most_unlabelled))
+    unlabelled = _sets(train.join(F.broadcast(chosen), "doc_id", "left_semi"), names[seen >= 3])
     return nn_pu(positive, unlabelled, prior) if positive and unlabelled else ToxicityModel({}, -1000.0)
 
 
