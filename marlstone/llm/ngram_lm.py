@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import chunks, get_arrays, keyed_text, over_chunks, put_arrays, remainder, shared_dir, words
+from marlstone.llm.common import chunks, get_arrays, keyed_text, over_chunks, put_arrays, remainder, remove, shared_dir, words
 from marlstone.llm.eliasfano import EliasFano
 
 #: No word holds white space, so this names the end of a text.
@@ -68,6 +68,12 @@ class Successors:
 
     def find(self, context: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions (-1: not there), and where each context's range begins."""
+        # each pair once, in order: neighbours in the files are then asked for one after the other
+        pairs, back = np.unique(context << 32 | value, return_inverse=True)
+        at, start = self._find(pairs >> 32, pairs & 0xFFFFFFFF)
+        return at[back], start[back]
+
+    def _find(self, context: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         distinct, of = np.unique(context, return_inverse=True)
         begin, end = (self.pointers.access(distinct + k).astype(np.int64) for k in (0, 1))
         base = np.zeros(len(distinct), np.uint64)
@@ -190,6 +196,7 @@ def _vocabulary(train: DataFrame, place: str) -> NgramModel:
 
     # rows at the driver: at most 256 for 400,000 words
     pieces = over_chunks(counted.select("hash", "n", bucket.alias("bucket")).repartition("bucket"), write, "bucket long, words long, tokens long", limit=0).collect()
+    remove(f"{place}/words{model.seed}")
     ids, size = 0, 0
     parts = max(1, model.tokens // 4_000_000)
     model.shards = [0]
@@ -320,7 +327,7 @@ def fit(docs: DataFrame, folds: int = 10, place: str | None = None) -> tuple[Ngr
     place = place or shared_dir(spark)
     docs = keyed_text(docs).withColumn("held_out", remainder("doc_id", folds) == 0)
     model = _vocabulary(docs.where("not held_out"), place)
-    _encoded(docs, model).write.parquet(f"{place}/ids")
+    _encoded(docs, model).write.option("compression", "zstd").parquet(f"{place}/ids")
     rows = spark.read.parquet(f"{place}/ids")
 
     def pairs(shard: int, key: np.ndarray, n: np.ndarray) -> None:
@@ -328,7 +335,7 @@ def fit(docs: DataFrame, folds: int = 10, place: str | None = None) -> tuple[Ngr
         context = key >> 32
         total = np.bincount(context, n, width).astype(np.int64)
         keep = n > 1
-        put_arrays(f"{place}/counts2-{shard}", key=key[keep], n=n[keep], total=total)
+        put_arrays(f"{place}/counts2/{shard}", key=key[keep], n=n[keep], total=total)
 
     discount = _discount(_joined(_counted(rows, model, 2), pairs).collect())
     shards = spark.createDataFrame([(s,) for s in range(len(model.shards) - 1)], "shard int").repartition(len(model.shards) - 1, "shard")
@@ -337,7 +344,7 @@ def fit(docs: DataFrame, folds: int = 10, place: str | None = None) -> tuple[Ngr
         for part in parts:
             for s in part.column("shard").to_pylist():
                 try:
-                    raw = get_arrays(f"{place}/counts2-{s}")
+                    raw = get_arrays(f"{place}/counts2/{s}")
                 except FileNotFoundError:  # no text has a word of this range
                     raw = {"key": np.zeros(0, np.int64), "n": np.zeros(0, np.int64), "total": np.zeros(model.shards[s + 1] - model.shards[s], np.int64)}
                 context, word, n, total = raw["key"] >> 32, raw["key"] & 0xFFFFFFFF, raw["n"], raw["total"]
@@ -348,10 +355,11 @@ def fit(docs: DataFrame, folds: int = 10, place: str | None = None) -> tuple[Ngr
                 yield {"shard": [s]}
 
     over_chunks(shards, level2, "shard int", limit=0).collect()
+    remove(f"{place}/counts2")
 
     def triples(shard: int, key: np.ndarray, n: np.ndarray) -> None:
         keep = n > 1
-        put_arrays(f"{place}/counts3-{shard}", key=key[keep], n=n[keep])
+        put_arrays(f"{place}/counts3/{shard}", key=key[keep], n=n[keep])
 
     discount3 = _discount(_joined(_counted(rows, model, 3), triples).collect())
 
@@ -359,7 +367,7 @@ def fit(docs: DataFrame, folds: int = 10, place: str | None = None) -> tuple[Ngr
         for part in parts:
             for s in part.column("shard").to_pylist():
                 try:
-                    raw = get_arrays(f"{place}/counts3-{s}")
+                    raw = get_arrays(f"{place}/counts3/{s}")
                 except FileNotFoundError:
                     raw = {"key": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)}
                 node, place3, n = raw["key"] >> 32, raw["key"] & 0xFFFFFFFF, raw["n"]
@@ -383,6 +391,7 @@ def fit(docs: DataFrame, folds: int = 10, place: str | None = None) -> tuple[Ngr
                 yield {"shard": [s]}
 
     over_chunks(shards, level3, "shard int", limit=0).collect()
+    remove(f"{place}/counts3")
     return model, rows
 
 
