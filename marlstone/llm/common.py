@@ -92,6 +92,11 @@ def get_arrays(uri: str) -> dict[str, np.ndarray]:
     return {name: raw[8 + n + at : 8 + n + at + np.dtype(kind).itemsize * size].view(kind) for name, kind, size, at in ast.literal_eval(raw[8 : 8 + n].tobytes().decode())}
 
 
+def partitions(spark: SparkSession) -> int:
+    """The number of partitions for steps whose work isn't told by their bytes."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import get_arrays, keyed_text, mix, over_chunks, put_arrays, ranges, shared_dir, task_number, words
+from marlstone.llm.common import get_arrays, keyed_text, mix, over_chunks, partitions, put_arrays, ranges, shared_dir, task_number, words
 from marlstone.llm.components import components
 
 _FILE_BITS, _INDEX_BITS = 12, 25
@@ -221,7 +221,9 @@ def _lists(postings: DataFrame, percent: int) -> DataFrame:
             yield out
 
     ordered = postings.repartition("key").sortWithinPartitions("key", "n")
-    return over_chunks(ordered, run, "name long, members array<long>", limit=0).dropDuplicates(["name"])
+    found = over_chunks(ordered, run, "name long, members array<long>", limit=0)
+    # lists are small but long to compare: a stated number of partitions isn't merged by their bytes
+    return found.repartition(partitions(found.sparkSession), "name").dropDuplicates(["name"])
 
 
 def links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -311,7 +313,7 @@ def similar_groups(docs: DataFrame, shingle: int = 4, percent: int = 85, common:
     rows.where("is_set = 1").select("entry", "a", "b").join(same, ["a", "b"]).select("entry", "class", "least", "n").write.parquet(f"{place}/classes")
     members = spark.read.parquet(f"{place}/classes")
     classes = members.where("entry = class")
-    by_file = classes.select("entry").repartition(F.shiftright("entry", _INDEX_BITS)).sortWithinPartitions("entry")
+    by_file = classes.select("entry").repartition(partitions(spark), F.shiftright("entry", _INDEX_BITS)).sortWithinPartitions("entry")
     light = boundary({r.n: r["count"] for r in classes.where("n <= 24").groupBy("n").count().collect()}, percent)
     keyed = _postings(by_file, sets, _common(by_file, sets, common), light, percent)
     _edges(_lists(keyed, percent), sets, percent).write.parquet(f"{place}/links")
