@@ -140,6 +140,18 @@ def load(place: str, entry: int) -> np.ndarray:
     return f["values"][f["ends"][i] : f["ends"][i + 1]]
 
 
+def _unmapped(run):
+    """The same work of a task; the files that it mapped are let go at its end."""
+
+    def task(parts: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        try:
+            yield from run(parts)
+        finally:
+            _file.cache_clear()
+
+    return task
+
+
 def _common(classes: DataFrame, place: str, most: int, local: int = 3, per_batch: int = 2000) -> np.ndarray:
     """Elements that many sets hold, rarest first: at most ``most``. Any order serves; a good one keeps lists short."""
 
@@ -154,7 +166,7 @@ def _common(classes: DataFrame, place: str, most: int, local: int = 3, per_batch
                 top = top[np.argsort(-c[top], kind="stable")[:per_batch]]
                 yield {"element": v[top].view(np.int64), "c": c[top]}
 
-    counted = over_chunks(classes, run, "element long, c long", limit=0).groupBy("element").agg(F.sum("c").alias("c"))
+    counted = over_chunks(classes, _unmapped(run), "element long, c long", limit=0).groupBy("element").agg(F.sum("c").alias("c"))
     return np.array([r.element for r in counted.orderBy(F.desc("c"), "element").limit(most).collect()][::-1], np.int64).view(np.uint64)
 
 
@@ -187,7 +199,7 @@ def _postings(classes: DataFrame, place: str, common: np.ndarray, light: int, pe
                 sizes += [n] * made
             yield {"key": np.concatenate(keys).view(np.int64), "entry": sets, "n": sizes}
 
-    return over_chunks(classes, run, "key long, entry long, n int", limit=0)
+    return over_chunks(classes, _unmapped(run), "key long, entry long, n int", limit=0)
 
 
 def _lists(postings: DataFrame, percent: int) -> DataFrame:
@@ -295,7 +307,7 @@ def _edges(lists: DataFrame, place: str, percent: int) -> DataFrame:
                 done += [(members[i], members[j]) for i, j in links([load(place, e) for e in members], percent)]
             yield {"a": [x for x, _ in done], "b": [x for _, x in done]}
 
-    return over_chunks(lists, run, "a long, b long", limit=0)
+    return over_chunks(lists, _unmapped(run), "a long, b long", limit=0)
 
 
 def similar_groups(docs: DataFrame, shingle: int = 4, percent: int = 85, common: int = 50_000) -> DataFrame:
