@@ -13,17 +13,29 @@ _U = np.uint64
 _BLOCK = 8  # words
 
 
+def _positions() -> np.ndarray:
+    """Of each byte, where its k-th set bit is."""
+    out = np.zeros((256, 8), np.int64)
+    for byte in range(256):
+        at = [i for i in range(8) if byte >> i & 1]
+        out[byte, : len(at)] = at
+    return out.reshape(-1)
+
+
+_BIT = _positions()
+_EACH = _U(0x0101010101010101)  # 1 in each byte
+_TOPS = _U(0x8080808080808080)
+
+
 def _select_in_word(words: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """Where the k-th (from 0) set bit of each word is."""
-    at = np.zeros(len(words), np.int64)
-    words, k = words.copy(), k.copy()
-    for width in (32, 16, 8, 4, 2, 1):
-        below = np.bitwise_count(words & _U((1 << width) - 1)).astype(np.int64)
-        up = k >= below
-        k -= np.where(up, below, 0)
-        words = np.where(up, words >> _U(width), words)
-        at += np.where(up, width, 0)
-    return at
+    """The place of the k-th set bit of each word."""
+    sums = words - ((words >> _U(1)) & _U(0x5555555555555555))
+    sums = (sums & _U(0x3333333333333333)) + ((sums >> _U(2)) & _U(0x3333333333333333))
+    sums = ((sums + (sums >> _U(4))) & _U(0x0F0F0F0F0F0F0F0F)) * _EACH  # set bits up to each byte
+    k = k.astype(_U)
+    shift = np.bitwise_count(((k * _EACH | _TOPS) - sums) & _TOPS).astype(_U) * _U(8)  # bytes that end before it
+    byte = (words >> shift) & _U(255)
+    return shift.astype(np.int64) + _BIT[(byte * _U(8) + k - (((sums << _U(8)) >> shift) & _U(255))).astype(np.int64)]
 
 
 class EliasFano:
@@ -31,7 +43,8 @@ class EliasFano:
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray):
         self.n, self.low_bits, self.low, self.high, self.ones = n, low_bits, low, high, ones
-        self.zeros = np.arange(len(ones), dtype=np.int64) * (64 * _BLOCK) - ones.astype(np.int64)
+        self.before = ones.astype(np.int64)
+        self.zeros = np.arange(len(ones), dtype=np.int64) * (64 * _BLOCK) - self.before
         self.top = len(high) * 64 - n  # zeros in all
 
     @classmethod
@@ -107,7 +120,7 @@ class EliasFano:
         i = np.asarray(i, np.int64)
         if not len(i):
             return np.zeros(0, _U)
-        return ((self._select(i, self.ones.astype(np.int64), 0) - i).astype(_U) << _U(self.low_bits)) | self.low_part(i)
+        return ((self._select(i, self.before, 0) - i).astype(_U) << _U(self.low_bits)) | self.low_part(i)
 
     def all(self) -> np.ndarray:
         """All values, for a whole file at once."""
@@ -115,19 +128,28 @@ class EliasFano:
         i = np.arange(self.n, dtype=np.int64)
         return ((bits - i).astype(_U) << _U(self.low_bits)) | self.low_part(i)
 
-    def successor(self, values: np.ndarray) -> np.ndarray:
-        """For each value the first position whose value isn't smaller (n: there is none)."""
+    def _group_end(self, begin: np.ndarray, group: np.ndarray) -> np.ndarray:
+        """Where groups end that begin at ``begin``: the next zero is most often in the same word."""
+        bit = begin + group
+        zeros = ~self.high[bit >> 6] >> (bit & 63).astype(_U)
+        end = begin + np.bitwise_count((zeros & (~zeros + _U(1))) - _U(1))
+        far = np.flatnonzero(zeros == 0)
+        end[far] = self._select(group[far], self.zeros, 1) - group[far]
+        return end
+
+    def lookup(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each value the first position whose value isn't smaller (n: there is none), and whether it is equal."""
         values = np.asarray(values, _U)
-        out = np.full(len(values), self.n, np.int64)
+        out, same = np.full(len(values), self.n, np.int64), np.zeros(len(values), bool)
         group = (values >> _U(self.low_bits)).astype(np.int64)
         inside = np.flatnonzero((group >= 0) & (group < self.top))
         if not len(inside) or not self.n:
-            return out
+            return out, same
         group = group[inside]
-        end = self._select(group, self.zeros, 1) - group
         begin = np.zeros(len(group), np.int64)
         later = np.flatnonzero(group > 0)
         begin[later] = self._select(group[later] - 1, self.zeros, 1) - (group[later] - 1)
+        end = self._group_end(begin, group)
         low = values[inside] & _U((1 << self.low_bits) - 1)
         lo, hi = begin, end.copy()
         open_ = np.flatnonzero(lo < hi)
@@ -138,13 +160,14 @@ class EliasFano:
             hi[open_] = np.where(less, hi[open_], middle)
             open_ = open_[lo[open_] < hi[open_]]
         out[inside] = np.minimum(lo, self.n)
-        return out
+        there = np.flatnonzero(lo < end)  # a value of the same group
+        same[inside[there]] = self.low_part(lo[there]) == low[there]
+        return out, same
+
+    def successor(self, values: np.ndarray) -> np.ndarray:
+        return self.lookup(values)[0]
 
     def find(self, values: np.ndarray) -> np.ndarray:
         """The position of each value, -1 where it is missing."""
-        at = self.successor(values)
-        there = np.flatnonzero(at < self.n)
-        same = self.access(at[there]) == np.asarray(values, _U)[there]
-        out = np.full(len(at), -1, np.int64)
-        out[there[same]] = at[there[same]]
-        return out
+        at, same = self.lookup(values)
+        return np.where(same, at, -1)

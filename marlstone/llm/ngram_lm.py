@@ -82,10 +82,8 @@ class Successors:
         out, start = np.full(len(context), -1, np.int64), begin[of]
         full = np.flatnonzero((end > begin)[of])
         wanted = base[of[full]] + value[full].astype(np.uint64) + np.uint64(1)
-        at = self.values.successor(wanted)
-        inside = at < end[of[full]]
-        full, at, wanted = full[inside], at[inside], wanted[inside]
-        same = self.values.access(at) == wanted
+        at, same = self.values.lookup(wanted)
+        same &= at < end[of[full]]
         out[full[same]] = at[same]
         return out, start
 
