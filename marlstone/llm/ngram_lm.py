@@ -7,9 +7,9 @@ a third word is not its id but its place among the successors of the second, whi
 context-relative id, found by successor search in the ranges of the shorter context. Probabilities
 and back-off weights are 16-bit steps of log10.
 
-Probabilities interpolate with absolute discounting: counts are of the whole training part, n-grams
-of two and three words that occur once give their mass to the shorter context, and single words have
-the additive estimate that also serves as the base score.
+Probabilities interpolate with absolute discounting: counts are of the whole training part, every
+n-gram of it is stored, those that occur once too, and single words have the additive estimate that
+also serves as the base score.
 
 Defined cases: a null or empty text is one end token; without any training row all words are unknown
 and every score is 0; repeated rows count each; an empty table gives no rows; columns other than
@@ -139,13 +139,38 @@ class NgramModel:
         """Node of each pair in its shard's level 2 (-1: none), and its place among the first word's successors."""
         node, place = np.full(len(first), -1, np.int64), np.zeros(len(first), np.int64)
         shard = np.where((first >= 0) & (second >= 0), self.shard(first), -1)
-        for s in np.unique(shard[shard >= 0]).tolist():
-            mine = np.flatnonzero(shard == s)
+        for s, mine in _each(shard):
             at, begin = _successors(self.place, 2, s).find(first[mine] - self.shards[s], second[mine])
             node[mine], place[mine] = at, at - begin
         return node, place
 
 
+def _packed(ascending: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes]:
+    """Keys as differences, and counts; bytes of like weight lie together and are compressed."""
+    out = []
+    for a in (np.diff(ascending, prepend=0), n):
+        planes = a.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+        out.append(len(planes).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True))
+    return out[0], out[1]
+
+
+def _unpacked(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    gaps, n = (np.frombuffer(pa.decompress(x[8:], int.from_bytes(x[:8], "little"), "zstd", asbytes=True), np.uint8).reshape(8, -1).T.copy().view("<i8").reshape(-1) for x in (keys, counts))
+    return np.cumsum(gaps), n
+
+
+def _each(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each number from 0 on that occurs, and where."""
+    if len(shard):
+        small = shard.astype(np.int16) if shard.max() < 1 << 15 else shard
+        order = np.argsort(small, kind="stable")
+        there = shard[order]
+        cut = np.flatnonzero(np.concatenate([[True], there[1:] != there[:-1]])).tolist()
+        for b, e in zip(cut, [*cut[1:], len(there)], strict=True):
+            if there[b] >= 0:
+                yield int(there[b]), order[b:e]
+
+
 @lru_cache(maxsize=4096)
 def _file(uri: str) -> dict[str, np.ndarray]:
     return get_arrays(uri)
@@ -196,7 +221,7 @@ def _vocabulary(train: DataFrame, place: str) -> NgramModel:
     pieces = over_chunks(counted.select("hash", "n", bucket.alias("bucket")).repartition("bucket"), write, "bucket long, words long, tokens long", limit=0).collect()
     remove(f"{place}/words{model.seed}")
     ids, size = 0, 0
-    parts = max(1, model.tokens // 4_000_000)
+    parts = max(1, model.tokens // 2_000_000)
     model.shards = [0]
     for r in sorted(pieces, key=lambda r: r.bucket):  # sorted() is stable, so a file's pieces stay in order
         if not model.buckets or model.buckets[-1] != r.bucket:
@@ -266,7 +291,8 @@ def _counted(rows: DataFrame, model: NgramModel, level: int) -> DataFrame:
             shard, key, n = shard[new], key[new], np.add.reduceat(n, new)
             cut = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])).tolist()
             spans = list(zip(cut, [*cut[1:], len(key)], strict=True))
-            return {"shard": [int(shard[b]) for b, _ in spans], "keys": [key[b:e].tobytes() for b, e in spans], "counts": [n[b:e].astype("<u4").tobytes() for b, e in spans]}
+            packed = [_packed(key[b:e], n[b:e]) for b, e in spans]
+            return {"shard": [int(shard[b]) for b, _ in spans], "keys": [k for k, _ in packed], "counts": [c for _, c in packed]}
 
         for _, ids, before, begin in _streams(batches, model):
             if level == 2:
@@ -292,22 +318,30 @@ def _counted(rows: DataFrame, model: NgramModel, level: int) -> DataFrame:
     return over_chunks(rows.where("not held_out").select("ids", "n_tokens"), run, "shard int, keys binary, counts binary", limit=0)
 
 
+def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    key, n = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+    order = np.argsort(key, kind="stable")  # both are sorted, so this merges
+    key, n = key[order], n[order]
+    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[new], np.add.reduceat(n, new)
+
+
 def _joined(blobs: DataFrame, work) -> DataFrame:
     """Calls ``work`` with each shard's distinct keys and counts."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for part in parts:
             for s, k, c in zip(*(part.column(n).to_pylist() for n in ("shard", "keys", "counts")), strict=True):
-                key, n = np.frombuffer(k, np.int64), np.frombuffer(c, "<u4").astype(np.int64)
-                if s in held:
-                    key, n = np.concatenate([held[s][0], key]), np.concatenate([held[s][1], n])
-                    order = np.argsort(key, kind="stable")  # both are sorted, so this merges
-                    key, n = key[order], n[order]
-                    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-                    key, n = key[new], np.add.reduceat(n, new)
-                held[s] = key, n
-        for s, (key, n) in sorted(held.items()):
+                mine = held.setdefault(s, [])
+                mine.append(_unpacked(k, c))
+                while len(mine) > 1 and len(mine[-2][0]) < 2 * len(mine[-1][0]):  # like sizes merge, so few lie there
+                    mine[-2:] = [_merged(*mine[-2:])]
+        for s in sorted(held):
+            mine = held.pop(s)
+            while len(mine) > 1:
+                mine[-2:] = [_merged(*mine[-2:])]
+            key, n = mine.pop()
             yield {"shard": [s], "once": [int((n == 1).sum())], "twice": [int((n == 2).sum())]}
             work(s, key, n)
 
@@ -328,12 +362,18 @@ def fit(docs: DataFrame, folds: int = 10, place: str | None = None) -> tuple[Ngr
     _encoded(docs, model).write.option("compression", "zstd").parquet(f"{place}/ids")
     rows = spark.read.parquet(f"{place}/ids")
 
+    def put_counts(uri: str, key: np.ndarray, n: np.ndarray, **more: np.ndarray) -> None:
+        put_arrays(uri, **dict(zip(("key", "n"), (np.frombuffer(x, np.uint8) for x in _packed(key, n)), strict=True)), **more)
+
+    def get_counts(uri: str) -> dict[str, np.ndarray]:
+        raw = get_arrays(uri)
+        return raw | dict(zip(("key", "n"), _unpacked(raw["key"].tobytes(), raw["n"].tobytes()), strict=True))
+
     def pairs(shard: int, key: np.ndarray, n: np.ndarray) -> None:
         width = model.shards[shard + 1] - model.shards[shard]
         context = key >> 32
         total = np.bincount(context, n, width).astype(np.int64)
-        keep = n > 1
-        put_arrays(f"{place}/counts2/{shard}", key=key[keep], n=n[keep], total=total)
+        put_counts(f"{place}/counts2/{shard}", key, n, total=total)
 
     discount = _discount(_joined(_counted(rows, model, 2), pairs).collect())
     shards = spark.createDataFrame([(s,) for s in range(len(model.shards) - 1)], "shard int").repartition(len(model.shards) - 1, "shard")
@@ -342,22 +382,21 @@ def fit(docs: DataFrame, folds: int = 10, place: str | None = None) -> tuple[Ngr
         for part in parts:
             for s in part.column("shard").to_pylist():
                 try:
-                    raw = get_arrays(f"{place}/counts2/{s}")
+                    raw = get_counts(f"{place}/counts2/{s}")
                 except FileNotFoundError:  # no text has a word of this range
                     raw = {"key": np.zeros(0, np.int64), "n": np.zeros(0, np.int64), "total": np.zeros(model.shards[s + 1] - model.shards[s], np.int64)}
                 context, word, n, total = raw["key"] >> 32, raw["key"] & 0xFFFFFFFF, raw["n"], raw["total"]
                 share = (n - discount) / np.maximum(1, total[context])
                 rest = 1 - np.bincount(context, share, len(total))
                 p = share + rest[context] * 10 ** model.unigram(model.counts(word))
-                put_arrays(f"{place}/2-{s}", p=_quantised(np.log10(p)), rest=_quantised(np.log10(np.clip(rest, 1e-9, 1))), n=n, **Successors.arrays("next", len(total), context, word))
+                put_arrays(f"{place}/2-{s}", p=_quantised(np.log10(p)), rest=_quantised(np.log10(np.clip(rest, 1e-9, 1))), n=n.astype(np.uint32 if n.max(initial=0) < 1 << 32 else np.int64), **Successors.arrays("next", len(total), context, word))
                 yield {"shard": [s]}
 
     over_chunks(shards, level2, "shard int", limit=0).collect()
     remove(f"{place}/counts2")
 
     def triples(shard: int, key: np.ndarray, n: np.ndarray) -> None:
-        keep = n > 1
-        put_arrays(f"{place}/counts3/{shard}", key=key[keep], n=n[keep])
+        put_counts(f"{place}/counts3/{shard}", key, n)
 
     discount3 = _discount(_joined(_counted(rows, model, 3), triples).collect())
 
@@ -365,12 +404,12 @@ def fit(docs: DataFrame, folds: int = 10, place: str | None = None) -> tuple[Ngr
         for part in parts:
             for s in part.column("shard").to_pylist():
                 try:
-                    raw = get_arrays(f"{place}/counts3/{s}")
+                    raw = get_counts(f"{place}/counts3/{s}")
                 except FileNotFoundError:
                     raw = {"key": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)}
                 node, place3, n = raw["key"] >> 32, raw["key"] & 0xFFFFFFFF, raw["n"]
                 two, next2 = model.level(2, s), _successors(place, 2, s)
-                total = two["n"]
+                total = two["n"].astype(np.int64)
                 share = (n - discount3) / np.maximum(1, total[node])
                 rest = np.clip(1 - np.bincount(node, share, len(total)), 1e-9, 1)
                 # the second word of a node, and the probability of the third after it
@@ -399,14 +438,14 @@ def token_scores(model: NgramModel, ids: np.ndarray, before: np.ndarray, begin:
     nodes, place = model.pairs(before, ids)
     node, first = _second(begin, nodes, before)
     shard = np.where(before >= 0, model.shard(np.maximum(before, 0)), -1)
-    for s in np.unique(shard[shard >= 0]).tolist():
-        two, mine = model.level(2, s), np.flatnonzero(shard == s)
+    for s, mine in _each(shard):
+        two = model.level(2, s)
         seen = nodes[mine] >= 0
         score[mine[~seen]] += _value(two["rest"][before[mine[~seen]] - model.shards[s]])
         score[mine[seen]] = _value(two["p"][nodes[mine[seen]]])
     shard = np.where(node >= 0, model.shard(np.maximum(first, 0)), -1)
-    for s in np.unique(shard[shard >= 0]).tolist():
-        three, mine = model.level(3, s), np.flatnonzero(shard == s)
+    for s, mine in _each(shard):
+        three = model.level(3, s)
         score[mine] += _value(three["rest"][node[mine]])
         pair = mine[nodes[mine] >= 0]
         at, _ = _successors(model.place, 3, s).find(node[pair], place[pair])

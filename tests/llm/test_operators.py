@@ -288,6 +288,44 @@ def test_language_model(docs, rows, empty):
     assert again.tokens == 0 and ngram_lm.score(again, none).count() == 0
 
 
+def test_language_model_holds_every_ngram(docs, rows):
+    model, encoded = ngram_lm.fit(docs)
+    words = {i: ["", *WORD.findall((t or "").translate(LOW)), "\n"] for i, t in rows}
+    train = [w for i, w in words.items() if zlib.crc32(str(i).encode()) % 10]
+    one, two, three = Counter(x for w in train for x in w[1:]), Counter(), Counter()
+    for w in train:
+        two.update(zip(w, w[1:], strict=False))
+        three.update(zip(w, w[1:], w[2:], strict=False))
+    assert min(two.values()) == min(three.values()) == 1
+
+    def discount(c):
+        once, twice = (sum(n == k for n in c.values()) for k in (1, 2))
+        return min(0.95, max(0.3, once / max(1, once + 2 * twice)))
+
+    d2, d3 = discount(two), discount(three)
+    n, v = sum(one.values()), len(one)
+    total2, kinds2, total3, kinds3 = Counter(), Counter(), Counter(), Counter()
+    for g, k in two.items():
+        total2[g[0]] += k
+        kinds2[g[0]] += 1
+    for g, k in three.items():
+        total3[g[:2]] += k
+        kinds3[g[:2]] += 1
+
+    def p(w, at):
+        out = (one[w[at]] + 0.1) / (n + 0.1 * (v + 1))
+        if total2[w[at - 1]]:
+            out = (max(0, two[w[at - 1], w[at]] - d2) + d2 * kinds2[w[at - 1]] * out) / total2[w[at - 1]]
+        if at > 1 and total3[w[at - 2], w[at - 1]]:
+            pair = w[at - 2], w[at - 1]
+            out = (max(0, three[(*pair, w[at])] - d3) + d3 * kinds3[pair] * out) / total3[pair]
+        return out
+
+    scores = got(ngram_lm.score(model, encoded))
+    for i, w in words.items():
+        assert abs(scores[i].score - sum(math.log10(p(w, at)) for at in range(1, len(w)))) < 0.0006 * len(w), i
+
+
 def test_toxicity(spark, empty):
     rng = random.Random(9)
     plain = ["the", "of", "was", "thing", "house", "green", "walk", "over"]
