@@ -1,8 +1,9 @@
 """Secret scanning: fixed patterns, and a character convolutional network over all further candidates.
 
 A candidate is a run of 16 or more of ``[A-Za-z0-9+/_=-]`` with a letter and two digits. The network
-reads its first characters and those around it: an embedding, one convolution, the maximum over the
-candidate and over its surroundings, a hidden layer. It is trained in numpy on labelled findings:
+reads it in overlapping windows, to its last character, each with the characters around it: an
+embedding, one convolution, the maximum over the window's value and over its surroundings, a hidden
+layer. A candidate's probability is the highest of its windows. The network is trained in numpy on labelled findings:
 what the patterns found in a bounded sample of documents, against other long runs there, half of the
 findings with foreign surroundings so that the value itself has to tell. Platt scaling on rows kept
 out of the training calibrates it; its threshold is the highest that still recalls
@@ -46,6 +47,8 @@ _ALPHA[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = True
 _CHUNK = 2 << 20
 
 SIDE, VALUE = 28, 44
+#: From window to window of a longer value: what has up to VALUE - _STRIDE + 1 characters lies whole in one.
+_STRIDE = 11
 WIDTH = SIDE + VALUE + SIDE
 
 
@@ -83,6 +86,19 @@ def window(text: str, start: int, end: int) -> bytes:
     return code(text[max(0, start - SIDE) : start]).rjust(SIDE, b"\0") + code(text[start : min(end, start + VALUE)]).ljust(VALUE, b"\0") + code(text[end : end + SIDE]).ljust(SIDE, b"\0")
 
 
+def pieces(start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Overlapping parts of at most ``VALUE`` characters; the last one ends with the value."""
+    for at in range(start, max(start, end - VALUE), _STRIDE):
+        yield at, at + VALUE
+    yield max(start, end - VALUE), end
+
+
+def _some(start: int, end: int, most: int = 4) -> list[tuple[int, int]]:
+    """About ``most`` pieces to learn from, the first one and the last one among them."""
+    all_ = list(pieces(start, end))
+    return sorted({*all_[:: -(-len(all_) // most)], all_[-1]})
+
+
 @dataclass
 class SecretModel:
     """The network's parameters, its calibration (slope, intercept) and threshold; without parameters it adds nothing."""
@@ -205,17 +221,31 @@ def scan(texts: pa.Array, model: SecretModel) -> tuple[list[list[tuple[int, int,
     if model.p:
         doc, begin, end, digits, letters = runs(texts, 16)
         likely = np.flatnonzero((digits >= 2) & (letters >= 1))
-        at, windows = [], []
+        at: list[tuple[int, int, int]] = []
+        best, owner, windows = [], [], []
+
+        def judge() -> None:
+            for k, p in zip(owner, model.probability(windows).tolist(), strict=True):
+                best[k] = max(best[k], p)
+            owner.clear()
+            windows.clear()
+
         for i in np.unique(doc[likely]).tolist():
             text, mine = texts[i].as_py(), likely[doc[likely] == i]
             points = _to_points(text, np.stack([begin[mine], end[mine]], 1).ravel().tolist())
             for s, e in zip(points[::2], points[1::2], strict=True):
                 if not any(s < y and x < e for x, _, y in base[i]):
                     at.append((i, s, e))
-                    windows.append(window(text, s, e))
-        for (i, s, e), p in zip(at, model.probability(windows), strict=True):
+                    best.append(0.0)
+                    for x, y in pieces(s, e):
+                        owner.append(len(at) - 1)
+                        windows.append(window(text, x, y))
+                        if len(windows) >= 8192:
+                            judge()
+        judge()
+        for (i, s, e), p in zip(at, best, strict=True):
             if p >= model.threshold:
-                more[i].append((s, e, float(p)))
+                more[i].append((s, e, p))
     return base, more
 
 
@@ -235,14 +265,14 @@ def fit(docs: DataFrame, most_documents: int = 30_000, most_windows: int = 4000,
                 text = texts[i].as_py()
                 for s, kind, e in list_:
                     start = s if kind else _ASSIGN.match(text, s).start(2)
-                    out.append((True, window(text, start, e)))
+                    out += [(True, window(text, *x)) for x in _some(start, e)]
             doc, begin, end, _, _ = runs(texts, 10)
             step = max(1, len(doc) // 200)
             for i, b, e in zip(doc[::step].tolist(), begin[::step].tolist(), end[::step].tolist(), strict=True):
                 text = texts[i].as_py()
                 s, e = _to_points(text, [b, e])
                 if not any(s < y and x < e for x, _, y in spans.get(i, ())):
-                    out.append((False, window(text, s, e)))
+                    out += [(False, window(text, *x)) for x in _some(s, e)]
             return {"found": [x for x, _ in out], "window": [w for _, w in out]}
 
         return run

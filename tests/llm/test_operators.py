@@ -251,6 +251,32 @@ def test_secret_network_learns():
     assert fresh.mean() > 0.9 and (model.probability([around(word()) for _ in range(100)]) < model.threshold).mean() > 0.95
 
 
+def path_model(rng):
+    """A network that knows hexadecimal keys from paths, rows of dashes and joined words."""
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(30))
+    path = lambda: "".join(rng.choice("/-_") + rng.choice(["organisation", "name", "project", "settings", "webhooks", "v2", "-" * 30]) for _ in range(14))
+
+    def other():
+        at, p = rng.randrange(30), path()
+        return secret_scan.window(p, at, at + secret_scan.VALUE)
+
+    found = [f"{path()[-20:]}/{key()} " for _ in range(600)]
+    return secret_scan.train([secret_scan.window(t, max(0, len(t) - 1 - rng.choice([30, 44])), len(t) - 1) for t in found], [other() for _ in range(600)]), key, path
+
+
+def test_secret_at_the_end_of_a_long_run():
+    model, key, path = path_model(random.Random(11))
+    k = key()
+    texts = ["see /organisation-name/project-name/settings/webhooks/" + k + " there", "-" * 70 + k, "_" * 300 + k + "_" * 300]
+    _, more = secret_scan.scan(pa.array(texts), model)
+    assert [[(s, e) for s, e, _ in m] for m in more] == [[(4, len(texts[0]) - 6)], [(0, len(texts[1]))], [(0, len(texts[2]))]]
+    _, more = secret_scan.scan(pa.array(["see /organisation-name/project-name/v2/settings/project-name/webhooks/v2-name there"]), model)
+    assert more == [[]]
+    for n in (1, 16, 44, 45, 55, 56, 200):
+        parts = list(secret_scan.pieces(7, 7 + n))
+        assert {c for s, e in parts for c in range(s, e)} == set(range(7, 7 + n)) and all(0 < e - s <= secret_scan.VALUE for s, e in parts)
+
+
 def test_network_gradients():
     rng = np.random.default_rng(3)
     x = rng.integers(0, 128, (4, secret_scan.WIDTH))
