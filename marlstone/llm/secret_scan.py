@@ -4,13 +4,13 @@ A candidate is a run of 16 or more of ``[A-Za-z0-9+/_=-]`` with a letter and two
 reads it in overlapping windows, to its last character, each with the characters around it: an
 embedding, one convolution, the maximum over the window's value and over its surroundings, a hidden
 layer. A candidate's probability is the highest of its windows. The network is trained in numpy on labelled findings:
-what the patterns found in a bounded sample of documents, against other long runs there, half of the
-findings with foreign surroundings so that the value itself has to tell. Platt scaling on rows kept
+what the patterns found in all documents (a bounded number, by a hash of the window), against other
+long runs in a bounded sample of documents, half of the findings with foreign surroundings so that the value itself has to tell. Platt scaling on rows kept
 out of the training calibrates it; its threshold is the highest that still recalls
 ``recall`` of the findings kept out.
 
-Defined cases: a null or empty text has no spans; with too few findings to learn from nothing is
-added to the patterns' spans; repeated rows are scanned alike; an empty table gives no rows; columns
+Defined cases: a null or empty text has no spans; with fewer than ten findings or other runs to learn
+from nothing is added to the patterns' spans, and ``fit`` warns of it; repeated rows are scanned alike; an empty table gives no rows; columns
 other than doc_id and text are not read.
 """
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -250,37 +251,44 @@ def scan(texts: pa.Array, model: SecretModel) -> tuple[list[list[tuple[int, int,
 
 
 def fit(docs: DataFrame, most_documents: int = 30_000, most_windows: int = 4000, recall: float = 0.98) -> SecretModel:
-    """Trains on the ``most_documents`` first documents in the order of a hash of doc_id, and on at most
-    ``most_windows`` findings and as many other runs there."""
+    """Trains on at most ``most_windows`` findings of all documents, and on as many other runs in the
+    ``most_documents`` first documents in the order of a hash of doc_id."""
     rows = keyed_text(docs)
     chosen = rows.select("doc_id").dropna().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_documents).distinct()
 
-    def make():
+    def make(wanted: bool):
         def run(part: pa.RecordBatch) -> dict:
             texts, out = part.column("text"), []
             flags = _flags(texts)
             found = np.flatnonzero(np.logical_or.reduce(flags)).tolist()
             spans = {i: base_spans(texts[i].as_py(), *(f[i] for f in flags)) for i in found}
-            for i, list_ in spans.items():
+            for i, list_ in spans.items() if wanted else ():
                 text = texts[i].as_py()
                 for s, kind, e in list_:
                     start = s if kind else _ASSIGN.match(text, s).start(2)
-                    out += [(True, window(text, *x)) for x in _some(start, e)]
+                    out += [window(text, *x) for x in _some(start, e)]
+            if wanted:
+                return {"window": out}
             doc, begin, end, _, _ = runs(texts, 10)
             step = max(1, len(doc) // 200)
             for i, b, e in zip(doc[::step].tolist(), begin[::step].tolist(), end[::step].tolist(), strict=True):
                 text = texts[i].as_py()
                 s, e = _to_points(text, [b, e])
                 if not any(s < y and x < e for x, _, y in spans.get(i, ())):
-                    out += [(False, window(text, *x)) for x in _some(s, e)]
-            return {"found": [x for x, _ in out], "window": [w for _, w in out]}
+                    out += [window(text, *x) for x in _some(s, e)]
+            return {"window": out}
 
         return run
 
-    sample = per_chunk(rows.join(F.broadcast(chosen), "doc_id", "left_semi"), make, "found boolean, window binary", _CHUNK).distinct()
-    order = F.xxhash64("window")
-    take = lambda found: [r.window for r in sample.where(F.col("found") == found).orderBy(order, "window").limit(most_windows).collect()]
-    return train(take(True), take(False), recall)
+    def take(docs: DataFrame, wanted: bool) -> list[bytes]:
+        found = per_chunk(docs, lambda: make(wanted), "window binary", _CHUNK).distinct()
+        return [r.window for r in found.orderBy(F.xxhash64("window"), "window").limit(most_windows).collect()]
+
+    findings, others = take(rows, True), take(rows.join(F.broadcast(chosen), "doc_id", "left_semi"), False)
+    model = train(findings, others, recall)
+    if not model.p:
+        warnings.warn(f"secret scan: {len(findings)} findings and {len(others)} other runs are too few to learn from; only the patterns are used", stacklevel=2)
+    return model
 
 
 def _join(spans: list[tuple[int, str, int]]) -> str:

@@ -277,6 +277,16 @@ def test_secret_at_the_end_of_a_long_run():
         assert {c for s, e in parts for c in range(s, e)} == set(range(7, 7 + n)) and all(0 < e - s <= secret_scan.VALUE for s, e in parts)
 
 
+def test_secret_network_learns_from_findings_of_all_documents(spark):
+    rng = random.Random(4)
+    hexes = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    plain = [(i, " ".join(rng.choice(["organisation", "understanding", "nevertheless"]) + str(rng.randrange(99)) for _ in range(30))) for i in range(60)]
+    docs = spark.createDataFrame([*plain, *((i, f"key {hexes()} end") for i in range(100, 130))], "doc_id long, text string")
+    assert secret_scan.fit(docs, most_documents=20).p
+    with pytest.warns(UserWarning, match="too few"):
+        assert not secret_scan.fit(spark.createDataFrame(plain, "doc_id long, text string")).p
+
+
 def test_network_gradients():
     rng = np.random.default_rng(3)
     x = rng.integers(0, 128, (4, secret_scan.WIDTH))
