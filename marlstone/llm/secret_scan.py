@@ -193,7 +193,7 @@ def train(positive: list[bytes], negative: list[bytes], recall: float = 0.98, st
         slope, shift = slope - 0.05 * (d * logit).mean() / (1 + logit.var()), shift - 0.5 * d.mean()
     model.scale = (float(slope), float(shift))
     found = np.sort(model.probability([w.tobytes() for w in vp]))
-    model.threshold = max(0.5, float(found[int((1 - recall) * len(found))]))
+    model.threshold = float(found[int((1 - recall) * len(found))])
     return model
 
 

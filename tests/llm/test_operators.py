@@ -287,6 +287,15 @@ def test_secret_network_learns_from_findings_of_all_documents(spark):
         assert not secret_scan.fit(spark.createDataFrame(plain, "doc_id long, text string")).p
 
 
+def test_secret_threshold_recalls_what_it_states():
+    rng = random.Random(6)
+    some = lambda letters: secret_scan.window(v := "".join(rng.choice(letters) for _ in range(30)), 0, len(v))
+    # one finding in ten looks like other runs
+    model = secret_scan.train([some("aeimnrst" if i % 10 == 5 else "0123456789abcdef") for i in range(1000)], [some("aeimnrst") for _ in range(1000)])
+    found = model.probability([some("aeimnrst" if i % 10 == 5 else "0123456789abcdef") for i in range(1000)]) >= model.threshold
+    assert model.threshold < 0.5 and found.mean() > 0.95
+
+
 def test_network_gradients():
     rng = np.random.default_rng(3)
     x = rng.integers(0, 128, (4, secret_scan.WIDTH))
