@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: dict[str, str] = {}
@@ -211,6 +211,32 @@ def keep_rows(docs: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], np.
     return docs.mapInArrow(task, docs.schema)
 
 
+def keep_one(docs: DataFrame, chosen: DataFrame, **keys: Column) -> DataFrame:
+    """Of ``docs``, with all columns, one row for each row of ``chosen``.
+
+    ``chosen``: doc_id, the names of ``keys``, and ``copies``, how many rows of ``docs`` have these
+    values. ``keys``: how they are computed from a document. Rows alike in all of them are told apart
+    by the smallest text, in a partial aggregation, so a hot value meets in no task.
+    """
+    mark = uuid.uuid4().hex[:8]
+    names = {k: f"{k}_{mark}" for k in keys}
+    keyed = docs.withColumns({names[k]: c for k, c in keys.items()})
+    wanted = chosen.select(F.col("doc_id").alias(f"id_{mark}"), *(F.col(k).alias(f"{n}_") for k, n in names.items()), F.col("copies").alias(f"copies_{mark}"))
+
+    def rows(chosen: DataFrame) -> DataFrame:
+        on = keyed["doc_id"].cast("long").eqNullSafe(chosen[f"id_{mark}"])
+        for n in names.values():
+            on &= keyed[n] == chosen[f"{n}_"]
+        return keyed.join(chosen, on, "left_semi")
+
+    single = rows(wanted.where(f"copies_{mark} = 1")).drop(*names.values())
+    several = wanted.where(f"copies_{mark} > 1")
+    if several.isEmpty():
+        return single
+    whole = F.min_by(F.struct(*docs.columns), F.coalesce(F.col("text"), F.lit(""))).alias("row")
+    return single.unionByName(rows(several).groupBy("doc_id", *names.values()).agg(whole).select("row.*"))
+
+
 def remainder(column: str, n: int):
     """crc32 of a column as text, modulo n; null counts as an empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n

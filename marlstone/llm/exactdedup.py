@@ -1,16 +1,17 @@
 """Exact deduplication with a log-structured merge index of digests.
 
 Every task puts its rows into an index: a memtable of texts takes them, compares the bytes of every
-hit with the text it holds, and flushes, when full, a sorted run of digests with a Bloom filter.
-Compaction merges the runs of all tasks by digest and keeps the row that stays. A digest that occurs
-in several runs is a hit between them: the texts that stand for those runs are read again, found by a
-bitmap filter of bounded size, and compared byte by byte, so a digest that two texts share splits into
-two groups. A run has one entry for all copies that its memtable saw, so no group of copies, however
-large, comes to one task.
+hit with the text it holds, and flushes, when full, a run of digests, sorted. Compaction merges the
+runs of all tasks by digest and keeps the row that stays. Each run that a merge makes has a Bloom
+filter: an arriving run is probed against those of the runs that lie there, and only digests that one
+of them may hold are searched in it. A digest that occurs in several runs is a hit between them: the
+texts that stand for those runs are read again, found by a bitmap filter of bounded size, and compared
+byte by byte, so a digest that two texts share splits into two groups. A run has one entry for all
+copies that its memtable saw, so no group of copies, however large, comes to one task.
 
 Defined cases: a null text is empty, and all texts without a character that counts are one group;
-rows with equal doc_ids are separate rows; a null doc_id loses ties; an empty table gives no rows;
-columns other than doc_id and text are not read.
+rows with equal doc_ids are separate rows; a null doc_id loses ties; any long is a doc_id; an empty
+table gives no rows; columns other than doc_id and text are not read; a text is never cut, however long.
 """
 
 from __future__ import annotations
@@ -24,11 +25,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import keyed_text, mix, over_chunks, shared_dir, string_bytes, task_number
+from marlstone.llm.common import keep_one, keyed_text, mix, over_chunks, ranges, shared_dir, string_bytes, task_number
 
 WHITE = bytes([0x20, *range(0x09, 0x0E)])
-_LAST = np.iinfo(np.int64).max
-RUNS = "is_entry int, entry long, key binary, sha256 binary, n long, chars long, doc long"
+RUNS = "is_entry int, entry long, key binary, sha256 binary, n long, chars long, doc long, unnamed boolean"
 
 
 class Bloom:
@@ -54,24 +54,27 @@ class LsmIndex:
     """Digest -> entries: rows counted, code points and doc_id of the row that stays, a number.
 
     ``add`` puts a text in; texts of one entry have equal bytes. Full memtables become sorted runs.
+    ``ingest`` takes runs in and finds digests that an earlier one has: ``probes`` counts the digests
+    that were asked of a filter, ``searches`` those that were then searched.
     """
 
     def __init__(self, digest_bytes: int = 32, memtable_bytes: int = 32 << 20):
         self.digest_bytes, self.limit = digest_bytes, memtable_bytes
         self.memtable: dict[bytes, list] = {}
-        self.held = self.entries = 0
+        self.held = self.entries = self.probes = self.searches = 0
         self.runs: list[tuple[np.ndarray, Bloom]] = []
-        self.kind = np.dtype([("digest", f"S{digest_bytes}"), ("n", "i8"), ("chars", "i8"), ("doc", "i8"), ("entry", "i8")])
+        self.kind = np.dtype([("digest", f"S{digest_bytes}"), ("n", "i8"), ("chars", "i8"), ("doc", "i8"), ("unnamed", "?"), ("entry", "i8")])
+        self.repeated: list[np.ndarray] = []
 
-    def add(self, digest: bytes, text: bytes, chars: int, doc: int) -> int:
+    def add(self, digest: bytes, text: bytes, chars: int, doc: int | None) -> int:
         variants = self.memtable.setdefault(digest[: self.digest_bytes], [])
+        rank = chars, doc is not None, -(doc or 0)
         for v in variants:
             if v[0] == text:  # the bytes of a hit are compared
                 v[1] += 1
-                if (chars, -doc) > (v[2], -v[3]):
-                    v[2:4] = chars, doc
-                return v[4]
-        variants.append([text, 1, chars, doc, self.entries])
+                v[2] = max(v[2], rank)
+                return v[3]
+        variants.append([text, 1, rank, self.entries])
         self.entries += 1
         self.held += len(text) + 200
         return self.entries - 1
@@ -81,28 +84,41 @@ class LsmIndex:
 
     def flush(self) -> np.ndarray:
         """The memtable as a run, sorted by digest; it is empty then."""
-        run = np.array([(d, *v[1:]) for d in sorted(self.memtable) for v in self.memtable[d]], self.kind)
+        run = np.array([(d, n, chars, -less, not named, e) for d in sorted(self.memtable) for _, n, (chars, named, less), e in self.memtable[d]], self.kind)
         self.memtable, self.held = {}, 0
         return run
 
     def ingest(self, run: np.ndarray) -> None:
         """Takes a sorted run in; runs of like size merge at once, so there are few."""
+        digest = run["digest"]
+        self.repeated.append(digest[1:][digest[1:] == digest[:-1]])
+        for old, bloom in self.runs:
+            maybe = digest[bloom.may_hold(digest)]
+            self.probes, self.searches = self.probes + len(run), self.searches + len(maybe)
+            at = np.minimum(np.searchsorted(old["digest"], maybe), len(old) - 1)
+            self.repeated.append(maybe[old["digest"][at] == maybe])
         while self.runs and len(run) * 2 >= len(self.runs[-1][0]):
             run = self._merged(self.runs.pop()[0], run)
-        self.runs.append((run, Bloom(run["digest"])))
+        if len(run):
+            self.runs.append((run, Bloom(run["digest"])))
 
     @staticmethod
     def _merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         both = np.concatenate([a, b])
         return both[np.argsort(both["digest"], kind="stable")]
 
-    def compact(self) -> np.ndarray:
-        """All runs as one."""
+    def compact(self) -> tuple[np.ndarray, np.ndarray]:
+        """All runs as one, and how many entries each entry's digest has: more than 1 only for those found repeated."""
         run = np.zeros(0, self.kind)
-        for r, _ in reversed(self.runs):
-            run = self._merged(run, r)
-        self.runs = [(run, Bloom(run["digest"]))]
-        return run
+        while self.runs:
+            run = self._merged(run, self.runs.pop()[0])
+        alike = np.ones(len(run), np.int64)
+        found = np.unique(np.concatenate([np.zeros(0, f"S{self.digest_bytes}"), *self.repeated]))
+        begin, end = (np.searchsorted(run["digest"], found, side) for side in ("left", "right"))
+        alike[ranges(begin, end - begin)] = np.repeat(end - begin, end - begin)
+        if len(run):
+            self.runs = [(run, Bloom(run["digest"]))]
+        return run, alike
 
     def find(self, digest: bytes) -> np.ndarray:
         """The entries of a digest in all runs; the filters spare most of the searches."""
@@ -117,10 +133,6 @@ def normalised(column: pa.Array) -> list[bytes]:
     return [data[b:e].translate(None, WHITE) for b, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
 
 
-def _with_key(docs: DataFrame) -> DataFrame:
-    return keyed_text(docs).withColumn("doc", F.coalesce("doc_id", F.lit(_LAST)))
-
-
 def _index(docs: DataFrame, digest_bytes: int, memtable_bytes: int) -> DataFrame:
     """A row for each document (its entry, digest and code points), and one for each entry of a run."""
 
@@ -130,21 +142,21 @@ def _index(docs: DataFrame, digest_bytes: int, memtable_bytes: int) -> DataFrame
         def entries() -> dict:
             r = index.flush()
             key = r["digest"].astype(f"S{digest_bytes}").tobytes()
-            return {"is_entry": [1] * len(r), "entry": r["entry"] + task, "key": [key[i : i + digest_bytes] for i in range(0, len(key), digest_bytes)], "sha256": pa.nulls(len(r), pa.binary()), "n": r["n"].copy(), "chars": r["chars"].copy(), "doc": r["doc"].copy()}
+            return {"is_entry": [1] * len(r), "entry": r["entry"] + task, "key": [key[i : i + digest_bytes] for i in range(0, len(key), digest_bytes)], "sha256": pa.nulls(len(r), pa.binary())} | {c: r[c].copy() for c in ("n", "chars", "doc", "unnamed")}
 
         for part in parts:
             texts = normalised(part.column("text"))
             sha = [hashlib.sha256(t).digest() for t in texts]
             chars = pc.utf8_length(part.column("text")).to_pylist()
-            docs_ = part.column("doc").to_pylist()
-            entry = [index.add(*row) for row in zip(sha, texts, chars, docs_, strict=True)]
-            yield {"is_entry": [0] * len(sha), "entry": np.array(entry) + task, "key": pa.nulls(len(sha), pa.binary()), "sha256": sha, "n": [1] * len(sha), "chars": chars, "doc": docs_}
+            ids = part.column("doc_id")
+            entry = [index.add(*row) for row in zip(sha, texts, chars, ids.to_pylist(), strict=True)]
+            yield {"is_entry": [0] * len(sha), "entry": np.array(entry) + task, "key": pa.nulls(len(sha), pa.binary()), "sha256": sha, "n": [1] * len(sha), "chars": chars, "doc": ids.fill_null(0), "unnamed": ids.is_null()}
             if index.full():
                 yield entries()
         if index.memtable:
             yield entries()
 
-    return over_chunks(_with_key(docs), run, RUNS)
+    return over_chunks(keyed_text(docs), run, RUNS)
 
 
 def _compacted(entries: DataFrame, digest_bytes: int) -> DataFrame:
@@ -155,17 +167,15 @@ def _compacted(entries: DataFrame, digest_bytes: int) -> DataFrame:
         for b in batches:
             r = np.zeros(b.num_rows, index.kind)
             r["digest"] = b.column("key").to_pylist()
-            for name in ("n", "chars", "doc", "entry"):
-                r[name] = b.column(name).to_numpy()
+            for name in ("n", "chars", "doc", "unnamed", "entry"):
+                r[name] = b.column(name).to_numpy(zero_copy_only=False)
             index.ingest(r[np.argsort(r["digest"], kind="stable")])
-        r = index.compact()
+        r, alike = index.compact()
         if len(r):
-            first = np.flatnonzero(np.concatenate([[True], r["digest"][1:] != r["digest"][:-1]]))
-            size = np.diff(np.append(first, len(r)))
             key = r["digest"].tobytes()
-            yield {"key": [key[i : i + digest_bytes] for i in range(0, len(key), digest_bytes)], "alike": np.repeat(size, size)} | {n: r[n].copy() for n in ("entry", "n", "chars", "doc")}
+            yield {"key": [key[i : i + digest_bytes] for i in range(0, len(key), digest_bytes)], "alike": alike} | {n: r[n].copy() for n in ("entry", "n", "chars", "doc", "unnamed")}
 
-    return over_chunks(entries.repartition("key"), run, "key binary, entry long, n long, chars long, doc long, alike long", limit=0)
+    return over_chunks(entries.repartition("key"), run, "key binary, entry long, n long, chars long, doc long, unnamed boolean, alike long", limit=0)
 
 
 def _filter_bits(keys: DataFrame, n: int, most: int = 1 << 26) -> np.ndarray:
@@ -186,18 +196,14 @@ def _texts(docs: DataFrame, bits: np.ndarray, digest_bytes: int) -> DataFrame:
             at = part.column("at").to_numpy()
             part = part.filter(pa.array((bits[at >> 3] >> (at & 7) & 1).astype(bool)))
             texts = normalised(part.column("text"))
-            yield {"doc": part.column("doc"), "key": [hashlib.sha256(t).digest()[:digest_bytes] for t in texts], "bytes": texts}
+            yield {"doc": part.column("doc_id").fill_null(0), "unnamed": part.column("doc_id").is_null(), "key": [hashlib.sha256(t).digest()[:digest_bytes] for t in texts], "bytes": texts}
 
-    rows = _with_key(docs).select("doc", "text", F.pmod(F.xxhash64("doc"), F.lit(8 * len(bits))).alias("at"))
-    return over_chunks(rows, run, "doc long, key binary, bytes binary")
+    rows = keyed_text(docs).withColumn("at", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0).cast("long"))), F.lit(8 * len(bits))))
+    return over_chunks(rows, run, "doc long, unnamed boolean, key binary, bytes binary")
 
 
-def exact_duplicates(docs: DataFrame, digest_bytes: int = 32, memtable_bytes: int = 32 << 20) -> DataFrame:
-    """Groups documents whose texts are equal without ASCII white space.
-
-    Returns per document: doc_id, keep_id (the row with the most code points, then the smallest
-    doc_id), group_size, kept, text_sha256. Of rows alike in all of that, all count as kept.
-    """
+def _grouped(docs: DataFrame, digest_bytes: int, memtable_bytes: int) -> DataFrame:
+    """The rows of documents, with their group's size and the code points and doc_id of the row that stays."""
     spark = docs.sparkSession
     place = shared_dir(spark)
     _index(docs, digest_bytes, memtable_bytes).write.partitionBy("is_entry").parquet(f"{place}/runs")
@@ -205,24 +211,46 @@ def exact_duplicates(docs: DataFrame, digest_bytes: int = 32, memtable_bytes: in
     _compacted(runs.where("is_entry = 1"), digest_bytes).write.parquet(f"{place}/index")
     index = spark.read.parquet(f"{place}/index")
     several = index.where("alike > 1")
-    groups = index.where("alike = 1").select("entry", F.col("doc").alias("keep"), F.col("n").alias("size"))
+    groups = index.where("alike = 1").select("entry", F.col("doc").alias("keep"), F.col("unnamed").alias("keep_unnamed"), F.col("chars").alias("keep_chars"), F.col("n").alias("size"))
     if many := several.count():
         found = _texts(docs, _filter_bits(several, many), digest_bytes)
-        found.join(several.select("doc", "key", "entry"), ["doc", "key"]).select("entry", "key", "bytes").dropDuplicates(["entry"]).write.parquet(f"{place}/texts")
+        at = ["doc", "unnamed", "key"]
+        found.join(several.select(*at), at, "left_semi").write.parquet(f"{place}/texts")
         texts = spark.read.parquet(f"{place}/texts")
-        same = texts.groupBy("key", "bytes").agg(F.min("entry").alias("same"))
-        members = texts.join(same, ["key", "bytes"]).select("entry", "same").join(several, "entry")
-        best = F.max(F.struct("chars", (-F.col("doc")).alias("less"))).alias("best")
-        members.write.parquet(f"{place}/members")
+        # the bytes decide; only where several texts share a digest are they needed again, to tell its entries apart
+        of_key = texts.select("key", "bytes").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("texts"))
+        of_key.write.parquet(f"{place}/variants")
+        of_key = spark.read.parquet(f"{place}/variants")
+        first = several.groupBy("key").agg(F.min("entry").alias("same")).join(of_key.where("texts = 1"), "key", "left_semi")
+        alone = several.join(first, "key").select("entry", "same", "n", "chars", "doc", "unnamed")
+        clash = texts.join(of_key.where("texts > 1"), "key", "left_semi").join(several.select(*at, "entry"), at).dropDuplicates(["entry"])
+        same = clash.groupBy("key", "bytes").agg(F.min("entry").alias("same"))
+        apart = clash.join(same, ["key", "bytes"]).select("entry", "same").join(several, "entry").select(*alone.columns)
+        alone.unionByName(apart).write.parquet(f"{place}/members")
         members = spark.read.parquet(f"{place}/members")
+        best = F.max(F.struct("chars", (~F.col("unnamed")).alias("named"), F.bitwise_not("doc").alias("less"))).alias("best")
         totals = members.groupBy("same").agg(F.sum("n").alias("size"), best)
-        groups = groups.unionByName(members.join(totals, "same").select("entry", (-F.col("best.less")).alias("keep"), "size"))
-    rows = runs.where("is_entry = 0").join(groups, "entry")
-    known = lambda c: F.when(F.col(c) != _LAST, F.col(c))
-    return rows.select(known("doc").alias("doc_id"), known("keep").alias("keep_id"), F.col("size").alias("group_size"), (F.col("doc") == F.col("keep")).alias("kept"), F.lower(F.hex("sha256")).alias("text_sha256"))
+        groups = groups.unionByName(members.join(totals, "same").select("entry", F.bitwise_not("best.less").alias("keep"), (~F.col("best.named")).alias("keep_unnamed"), F.col("best.chars").alias("keep_chars"), "size"))
+    return runs.where("is_entry = 0").join(groups, "entry").withColumn("kept", (F.col("doc") == F.col("keep")) & (F.col("unnamed") == F.col("keep_unnamed")))
+
 
+def exact_duplicates(docs: DataFrame, digest_bytes: int = 32, memtable_bytes: int = 32 << 20) -> DataFrame:
+    """Groups documents whose texts are equal without ASCII white space.
 
-def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """The documents that stay, with all their columns."""
-    stays = exact_duplicates(docs, **options).where("kept").select("doc_id").dropDuplicates()
-    return docs.join(stays, docs["doc_id"].eqNullSafe(stays["doc_id"]), "left_semi")
+    Returns per document: doc_id, keep_id (the row with the most code points, then the smallest
+    doc_id), group_size, kept, text_sha256. Of rows that share the doc_id of the one that stays, all count as kept.
+    """
+    rows = _grouped(docs, digest_bytes, memtable_bytes)
+    known = lambda c, gone: F.when(~F.col(gone), F.col(c))
+    return rows.select(known("doc", "unnamed").alias("doc_id"), known("keep", "keep_unnamed").alias("keep_id"), F.col("size").alias("group_size"), "kept", F.lower(F.hex("sha256")).alias("text_sha256"))
+
+
+def deduplicated(docs: DataFrame, digest_bytes: int = 32, memtable_bytes: int = 32 << 20) -> DataFrame:
+    """One row of each group, with all its columns; of rows alike in code points and doc_id that with the smallest text."""
+    place = shared_dir(docs.sparkSession)
+    rows = _grouped(docs, digest_bytes, memtable_bytes).where(F.col("kept") & (F.col("chars") == F.col("keep_chars")))
+    chosen = rows.groupBy(F.when(~F.col("unnamed"), F.col("doc")).alias("doc_id"), "sha256", "chars").agg(F.count(F.lit(1)).alias("copies"))
+    chosen.write.parquet(f"{place}/chosen")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    sha256 = F.unhex(F.sha2(F.translate(text, WHITE.decode(), "").cast("binary"), 256))
+    return keep_one(docs, docs.sparkSession.read.parquet(f"{place}/chosen"), sha256=sha256, chars=F.char_length(text).cast("long"))
