@@ -54,7 +54,7 @@ def get(uri: str) -> np.ndarray:
     """The bytes of a file: memory-mapped in a mounted folder, else read."""
     store, path = filesystem(uri)
     if isinstance(store, fs.LocalFileSystem):
-        return np.memmap(path, dtype=np.uint8, mode="r") if os.path.getsize(path) else np.zeros(0, np.uint8)
+        return np.asarray(np.memmap(path, dtype=np.uint8, mode="r")) if os.path.getsize(path) else np.zeros(0, np.uint8)  # slices of a plain array cost less
     with store.open_input_stream(path) as f:
         return np.frombuffer(f.read(), np.uint8)
 

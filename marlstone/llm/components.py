@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,13 +14,13 @@ def components(edges: DataFrame, place: str) -> DataFrame:
     """``edges``: a, b. Returns node, root: the smallest node that links reach, for every node with a link.
 
     Each round turns the links of every node towards the smallest one that it knows; rounds grow with
-    the logarithm of the longest chain. Links stay distributed; only their number and a checksum come
+    the logarithm of the longest chain, and go on until nothing changes. Links stay distributed; only their number and a checksum come
     to the driver.
     """
     spark: SparkSession = edges.sparkSession
     edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct().write.parquet(f"{place}/0")
     now, before = spark.read.parquet(f"{place}/0"), None
-    for k in range(1, 60):
+    for k in count(1):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

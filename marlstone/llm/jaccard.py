@@ -6,8 +6,9 @@ that is left when a few elements go. Heavy (large) sets meet in inverted lists o
 come first in one global order (an element that many sets hold comes last): sets that are alike share
 one of these. The size between the two is where the estimated cost is least; sets near it take part
 in both. The members of a list are compared exactly, in sets that lie memory-mapped in the shared
-folder: with the first member, then those left with the next, so copies cost one comparison each; the
-triangle inequality of the Jaccard distance spares comparisons between groups that are far apart.
+folder, by what sets it from the list's common core. A long list is dealt in blocks: those of a first
+round connect most of it, then only members that aren't connected yet are asked against the whole
+list, spread over tasks.
 
 Defined cases: a null or empty text, or one without words, has no shingles and no links; with fewer
 words than a shingle has the whole sequence is one; rows with equal doc_ids are separate rows of one
@@ -26,15 +27,22 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import get_arrays, keyed_text, mix, over_chunks, partitions, put_arrays, ranges, shared_dir, task_number, words
+from marlstone.llm.common import get_arrays, keep_one, keyed_text, mix, over_chunks, partitions, put_arrays, ranges, shared_dir, task_number, words
 from marlstone.llm.components import components
 
 _FILE_BITS, _INDEX_BITS = 12, 25
 _FILE_ELEMENTS = 1 << 22
-ROWS = "is_set int, entry long, n long, a long, b long, doc_id long"
+#: Elements of the sets that are compared at a time.
+_BLOCK_ELEMENTS = 1 << 21
+ROWS = "is_set int, entry long, n long, a long, b long, doc_id long, digest binary"
+
+
+def text_digest() -> Column:
+    """Tells rows of one doc_id apart."""
+    return F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256))
 
 
 def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,16 +75,28 @@ def subset_count(n: int, percent: int) -> int:
     return sum(comb(n, k) for k in range(n - least_common(n, percent) + 1))
 
 
-def boundary(sizes: dict[int, int], percent: int, most: int = 20) -> int:
-    """The size up to which subsets cost less than lists; ``sizes``: sets by size up to ``most``."""
+def boundary(sizes: dict[int, int], percent: int, work: dict[int, int] | None = None, most: int = 20) -> int:
+    """The size up to which subsets cost less than lists, in elements that are touched.
+
+    ``sizes``: sets by size, up to the size that meets ``most`` in a list; ``work``: of the sets of a
+    size, with how many members their lists would have them compared, as measured.
+    """
+    work = work or {}
 
     def cost(b: int) -> float:
-        light = sum(c * subset_count(n, percent) for n, c in sizes.items() if n <= b)
-        return light + sum(c * 2.0 * prefix_length(n, percent) for n, c in sizes.items() if n >= least_common(b + 1, percent))
+        light = sum(c * n * subset_count(n, percent) for n, c in sizes.items() if n <= b)
+        return light + sum(2.0 * n * (c * prefix_length(n, percent) + work.get(n, 0)) for n, c in sizes.items() if n >= least_common(b + 1, percent))
 
     return min(range(most + 1), key=cost)
 
 
+def _list_work(classes: DataFrame, place: str, common: np.ndarray, percent: int) -> dict[int, int]:
+    """By size of small sets: the lengths of all lists that they would be in."""
+    per = _postings(classes, place, common, 0, percent).groupBy("key", "n").agg(F.count(F.lit(1)).alias("c"))
+    total = per.groupBy("key").agg(F.sum("c").alias("length"))
+    return {r.n: r.work for r in per.join(total, "key").groupBy("n").agg(F.sum(F.col("c") * (F.col("length") - 1)).alias("work")).collect()}
+
+
 def _sets(docs: DataFrame, size: int, place: str) -> DataFrame:
     """Writes the sets to files. A row for each document, and one for each set that its task met first."""
 
@@ -93,7 +113,7 @@ def _sets(docs: DataFrame, size: int, place: str) -> DataFrame:
             values, n = (np.concatenate(x) for x in zip(*held, strict=True))
             put_arrays(f"{place}/{task + (number << _INDEX_BITS) >> _INDEX_BITS}.sets", values=values, ends=np.concatenate([[0], np.cumsum(n)]))
             e = list(rows.values())
-            out = {"is_set": [1] * len(e), "entry": list(rows), "n": [x[0] for x in e], "a": [x[1] for x in e], "b": [x[2] for x in e], "doc_id": [x[3] for x in e]}
+            out = {"is_set": [1] * len(e), "entry": list(rows), "n": [x[0] for x in e], "a": [x[1] for x in e], "b": [x[2] for x in e], "doc_id": [x[3] for x in e], "digest": pa.nulls(len(e), pa.binary())}
             number, count, elements, held, rows = number + 1, 0, 0, [], {}
             known.clear()
             return out
@@ -121,13 +141,13 @@ def _sets(docs: DataFrame, size: int, place: str) -> DataFrame:
                 new = np.array(new)
                 held.append((values[ranges(start[new], n[new])], n[new]))
                 elements += int(n[new].sum())
-            yield {"is_set": [0] * len(ids), "entry": entry, "n": n, "a": [0] * len(ids), "b": [0] * len(ids), "doc_id": ids}
+            yield {"is_set": [0] * len(ids), "entry": entry, "n": n, "a": [0] * len(ids), "b": [0] * len(ids), "doc_id": ids, "digest": part.column("digest")}
             if elements >= _FILE_ELEMENTS:
                 yield flush()
         if held:
             yield flush()
 
-    return over_chunks(keyed_text(docs), run, ROWS)
+    return over_chunks(keyed_text(docs).withColumn("digest", text_digest()), run, ROWS)
 
 
 @lru_cache(maxsize=4096)
@@ -202,8 +222,8 @@ def _postings(classes: DataFrame, place: str, common: np.ndarray, light: int, pe
     return over_chunks(classes, _unmapped(run), "key long, entry long, n int", limit=0)
 
 
-def _lists(postings: DataFrame, percent: int) -> DataFrame:
-    """The members of every key that several sets have, cut where sizes are too far apart."""
+def _lists(postings: DataFrame, percent: int, block: int) -> DataFrame:
+    """The members of every key that several sets have, cut where sizes are too far apart; a long list comes in blocks."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         known: set[int] = set()
@@ -214,12 +234,14 @@ def _lists(postings: DataFrame, percent: int) -> DataFrame:
             begin, end = np.concatenate([[0], cut + 1]), np.concatenate([cut + 1, [len(key)]])
             out = []
             for b, e in zip(begin[end - begin > 1].tolist(), end[end - begin > 1].tolist(), strict=True):
-                members = np.unique(entry[b:e])
-                if len(members) > 1 and (name := xxhash.xxh3_64_intdigest(members.tobytes())) not in known:
+                members, at = np.unique(entry[b:e], return_index=True)
+                if len(members) > 1 and (name := xxhash.xxh3_64_intdigest(members.tobytes()) >> 1) not in known:
                     if len(known) < 1_000_000:
                         known.add(name)
-                    out.append((name, members.tolist()))
-            return {"name": np.array([o[0] for o in out], np.uint64).view(np.int64), "members": [o[1] for o in out]} if out else None
+                    number = np.maximum(np.arange(len(members)) // block, np.cumsum(n[b:e][at]) // _BLOCK_ELEMENTS)
+                    pieces = np.split(members, np.flatnonzero(np.diff(number)) + 1)
+                    out += [(name, k, len(pieces) == 1, x.tolist()) for k, x in enumerate(pieces)]
+            return {"name": [o[0] for o in out], "number": [o[1] for o in out], "whole": [o[2] for o in out], "members": [o[3] for o in out]} if out else None
 
         for part in parts:
             now = [np.concatenate([r, part.column(c).to_numpy().astype(np.int64)]) for r, c in zip(rest, ("key", "entry", "n"), strict=True)]
@@ -233,73 +255,90 @@ def _lists(postings: DataFrame, percent: int) -> DataFrame:
             yield out
 
     ordered = postings.repartition("key").sortWithinPartitions("key", "n")
-    found = over_chunks(ordered, run, "name long, members array<long>", limit=0)
-    # lists are small but long to compare: a stated number of partitions isn't merged by their bytes
-    return found.repartition(partitions(found.sparkSession), "name").dropDuplicates(["name"])
+    return over_chunks(ordered, run, "name long, number long, whole boolean, members array<long>", limit=0)
+
+
+class Overlaps:
+    """How many elements one of some sets shares with each of them.
+
+    Sets of a list are often near copies. An element that most of them hold is in the core, and a set
+    is kept as what it lacks of the core and what it has beyond it, with inverted lists over these.
+    """
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(s) for s in sets], np.int64)
+        owner = np.repeat(np.arange(len(sets)), self.size)
+        _, code = np.unique(np.concatenate(sets), return_inverse=True)
+        inner = 2 * np.bincount(code) > len(sets)
+        number = np.cumsum(inner) - 1
+        core = inner[code]
+        lacks = np.ones((len(sets), int(inner.sum())), bool)
+        lacks[owner[core], number[code[core]]] = False
+        who, what = np.nonzero(lacks)
+        self.core, self.lacks = lacks.shape[1], lacks.sum(1)
+        who, what = np.concatenate([who, owner[~core]]), np.concatenate([np.flatnonzero(inner)[what], code[~core]])
+        order = np.lexsort((what, who))
+        self.own, self.ends = what[order], np.concatenate([[0], np.cumsum(np.bincount(who, minlength=len(sets)))])
+        self.inverted, self.begins = who[np.argsort(what, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(what, minlength=len(inner)))])
+
+    def of(self, i: int) -> np.ndarray:
+        mine = self.own[self.ends[i] : self.ends[i + 1]]
+        met = self.inverted[ranges(self.begins[mine], self.begins[mine + 1] - self.begins[mine])]
+        return self.core - self.lacks[i] - self.lacks + np.bincount(met, minlength=len(self.size))
 
 
 def links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Pairs of sets that are alike, enough of them to connect all that a chain of such pairs connects."""
+    """Pairs of sets that are alike, enough of them to connect all that a chain of such pairs connects.
+
+    Every set is asked once which of those not reached yet are like it, so there are fewer links than sets.
+    """
     size = np.array([len(s) for s in sets])
     out: list[tuple[int, int]] = []
-    groups: list[tuple[int, list[int], list[float]]] = []
-    far: dict[tuple[int, int], float] = {}
-    left = np.argsort(size, kind="stable")
-
-    def shared(one: np.ndarray, others: np.ndarray) -> np.ndarray:
-        flat, n = np.concatenate([sets[i] for i in others.tolist()]), size[others]
-        at = np.searchsorted(one, flat)
-        hit = one[np.minimum(at, len(one) - 1)] == flat
-        return np.add.reduceat(hit, np.cumsum(n) - n)
-
-    while len(left):
-        lead, left = int(left[0]), left[1:]
-        members, distance = [lead], [0.0]
-        if len(left):
-            both = shared(sets[lead], left)
-            union = size[lead] + size[left] - both
-            d = 1 - both / union
-            alike = 100 * both >= percent * union
-            for i, x in zip(left[alike].tolist(), d[alike].tolist(), strict=True):
-                out.append((lead, i))
-                members.append(i)
-                distance.append(x)
-            left, d = left[~alike], d[~alike]
-            far |= {(lead, i): x for i, x in zip(left.tolist(), d.tolist(), strict=True)} if len(left) <= 5000 else {}
-        groups.append((lead, members, distance))
-    limit = 1 - percent / 100 + 1e-9
-    root = list(range(len(groups)))
-
-    def find(g: int) -> int:
-        while root[g] != g:
-            root[g] = g = root[root[g]]
-        return g
-
-    several = [k for k, g in enumerate(groups) if len(g[1]) > 1]
-    for i in several:
-        for j in range(len(groups)):
-            if i == j or (len(groups[j][1]) > 1 and j < i) or find(i) == find(j):
-                continue
-            (a, am, ad), (b, bm, bd) = groups[i], groups[j]
-            between = far.get((a, b) if i < j else (b, a))
-            if between is None:
-                both = int(shared(sets[a], np.array([b]))[0])
-                between = 1 - both / (len(sets[a]) + len(sets[b]) - both)
-            if between > limit + max(ad) + max(bd):
-                continue
-            for x, dx in zip(am, ad, strict=True):
-                near = np.array([y for y, dy in zip(bm, bd, strict=True) if between - dx - dy <= limit])
-                if len(near):
-                    both = shared(sets[x], near)
-                    hit = np.flatnonzero(100 * both >= percent * (size[x] + size[near] - both))
-                    if len(hit):
-                        out.append((x, int(near[hit[0]])))
-                        root[find(i)] = find(j)
-                        break
+    overlaps = Overlaps(sets) if len(sets) > 12 else None
+
+    def alike(i: int, left: np.ndarray) -> np.ndarray:
+        if overlaps:
+            both = overlaps.of(i)[left]
+        else:
+            one, n = sets[i], size[left]
+            flat = np.concatenate([sets[k] for k in left.tolist()])
+            hit = one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat
+            both = np.add.reduceat(hit, np.cumsum(n) - n, dtype=np.int64)
+        return 100 * both >= percent * (size[i] + size[left] - both)
+
+    left = np.arange(len(sets))
+    while len(left) > 1:
+        waiting, left = [int(left[0])], left[1:]
+        while waiting and len(left):
+            i = waiting.pop()
+            found = alike(i, left)
+            out += [(i, k) for k in left[found].tolist()]
+            waiting += left[found].tolist()
+            left = left[~found]
+    return out
+
+
+def links_between(asked: list[np.ndarray], sets: list[np.ndarray], group: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs of one of ``asked`` and one of ``sets`` that are alike, but of other groups: one for each group that a set meets.
+
+    ``group``: the groups' numbers, first of ``asked``, then of ``sets``.
+    """
+    n, out = len(asked), []
+    overlaps = Overlaps([*asked, *sets])
+    for i in range(n):
+        both = overlaps.of(i)[n:]
+        found = np.flatnonzero((100 * both >= percent * (overlaps.size[i] + overlaps.size[n:] - both)) & (group[n:] != group[i]))
+        for g, k in dict(zip(group[n:][found].tolist(), found.tolist(), strict=True)).items():
+            out.append((i, k))
+            group[group == g] = group[i]
     return out
 
 
 def _edges(lists: DataFrame, place: str, percent: int) -> DataFrame:
+    """Links within each block."""
+    # lists are small but long to compare: a stated number of partitions isn't merged by their bytes
+    lists = lists.repartition(partitions(lists.sparkSession), "name", "number").dropDuplicates(["name", "number"])
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for part in parts:
             done: list[tuple[int, int]] = []
@@ -310,14 +349,54 @@ def _edges(lists: DataFrame, place: str, percent: int) -> DataFrame:
     return over_chunks(lists, _unmapped(run), "a long, b long", limit=0)
 
 
-def similar_groups(docs: DataFrame, shingle: int = 4, percent: int = 85, common: int = 50_000) -> DataFrame:
-    """Links documents whose shingle sets have a Jaccard similarity of at least ``percent`` / 100.
+def _far_edges(blocks: DataFrame, found: DataFrame, place: str, lists: str, percent: int, block: int, asked: int = 64) -> DataFrame:
+    """Links between the blocks of long lists that the first round's components don't connect yet.
 
-    Returns per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach).
-    ``common`` bounds the list of frequent elements that all tasks get (8 bytes each); it only changes speed.
+    Of two members in different components at least one isn't in the list's most frequent component.
+    All such members are asked, few at a time and spread over tasks, against the whole list, block by
+    block; a list within one component needs no more work.
     """
+    members = blocks.select("name", F.explode("members").alias("entry")).distinct()
+    named = members.join(found, members["entry"] == found["node"], "left").select("name", "entry", F.coalesce("root", "entry").alias("root"))
+    named.write.parquet(f"{lists}/named")
+    named = named.sparkSession.read.parquet(f"{lists}/named")
+    kinds = named.groupBy("name", "root").agg(F.count(F.lit(1)).alias("n"))
+    most = kinds.groupBy("name").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.sum("n").alias("length"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").drop("kinds")
+
+    def keep(parts: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for part in parts:
+            for name, entries, roots in zip(*(part.column(c).to_pylist() for c in ("name", "entries", "roots")), strict=True):
+                put_arrays(f"{lists}/{name}.list", members=np.array(entries, np.int64), roots=np.array(roots, np.int64))
+                yield {"name": [name]}
+
+    together = named.join(most, "name", "left_semi").groupBy("name").agg(F.collect_list("entry").alias("entries"), F.collect_list("root").alias("roots"))
+    over_chunks(together, keep, "name long", limit=0).count()
+    slot = F.pmod(F.xxhash64("entry"), F.ceil(F.col("length") / asked)).alias("slot")
+    units = named.join(most, "name").where("root <> most").groupBy("name", slot).agg(F.collect_list("entry").alias("entries"), F.collect_list("root").alias("roots"))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for part in parts:
+            done: list[tuple[int, int]] = []
+            for name, entries, roots in zip(*(part.column(c).to_pylist() for c in ("name", "entries", "roots")), strict=True):
+                whole, root = get_arrays(f"{lists}/{name}.list"), np.array(roots)
+                mine = [load(place, e) for e in entries]
+                others, sets, size = [], [], 0
+                for k, e in enumerate(whole["members"].tolist(), 1):
+                    others.append(e)
+                    sets.append(load(place, e))
+                    size += len(sets[-1])
+                    if k == len(whole["members"]) or len(sets) == block or size >= _BLOCK_ELEMENTS:
+                        group = np.concatenate([root, whole["roots"][k - len(sets) : k]])
+                        done += [(entries[i], others[j]) for i, j in links_between(mine, sets, group, percent)]
+                        others, sets, size = [], [], 0
+            yield {"a": [x for x, _ in done], "b": [x for _, x in done]}
+
+    return over_chunks(units.repartition(partitions(units.sparkSession), "name", "slot"), _unmapped(run), "a long, b long", limit=0)
+
+
+def _grouped(docs: DataFrame, shingle: int, percent: int, common: int, block: int, place: str) -> DataFrame:
+    """doc_id, digest (of the text), n (set size) and component of every document; documents without words have no component."""
     spark = docs.sparkSession
-    place = shared_dir(spark)
     sets = f"{place}/sets"
     _sets(docs, shingle, sets).write.partitionBy("is_set").parquet(f"{place}/rows")
     rows = spark.read.schema(ROWS).parquet(f"{place}/rows")
@@ -325,19 +404,49 @@ def similar_groups(docs: DataFrame, shingle: int = 4, percent: int = 85, common:
     rows.where("is_set = 1").select("entry", "a", "b").join(same, ["a", "b"]).select("entry", "class", "least", "n").write.parquet(f"{place}/classes")
     members = spark.read.parquet(f"{place}/classes")
     classes = members.where("entry = class")
-    by_file = classes.select("entry").repartition(partitions(spark), F.shiftright("entry", _INDEX_BITS)).sortWithinPartitions("entry")
-    light = boundary({r.n: r["count"] for r in classes.where("n <= 24").groupBy("n").count().collect()}, percent)
-    keyed = _postings(by_file, sets, _common(by_file, sets, common), light, percent)
-    _edges(_lists(keyed, percent), sets, percent).write.parquet(f"{place}/links")
-    found = components(spark.read.parquet(f"{place}/links"), f"{place}/stars")
-    rooted = members.join(found, members["class"] == found["node"], "left").withColumn("root", F.coalesce("root", "class")).drop("node")
-    named = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    entries = rooted.join(named, "root").select("entry", "component")
-    documents = rows.where("is_set = 0").select("doc_id", "n", "entry")
-    return documents.join(entries, "entry", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
-
-
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """Of each group the document with the smallest doc_id stays, with all columns; rows without words all stay."""
-    stays = similar_groups(docs, **options).where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(stays, docs["doc_id"].eqNullSafe(stays["doc_id"]), "left_semi")
+    by_file = classes.select("entry", "n").repartition(partitions(spark), F.shiftright("entry", _INDEX_BITS)).sortWithinPartitions("entry")
+    often = _common(by_file, sets, common)
+    small = {r.n: r["count"] for r in classes.where("n <= 24").groupBy("n").count().collect()}
+    light = boundary(small, percent, _list_work(by_file.where("n <= 24"), sets, often, percent))
+    _lists(_postings(by_file, sets, often, light, percent), percent, block).write.parquet(f"{place}/lists/blocks")
+    blocks = spark.read.parquet(f"{place}/lists/blocks")
+    _edges(blocks, sets, percent).write.parquet(f"{place}/links")
+    links_ = spark.read.parquet(f"{place}/links")
+    found = components(links_, f"{place}/stars")
+    long = blocks.where("NOT whole")
+    if not long.isEmpty():
+        _far_edges(long, found, sets, f"{place}/lists", percent, block).write.parquet(f"{place}/links2")
+        found = components(links_.unionByName(spark.read.parquet(f"{place}/links2")), f"{place}/stars2")
+    members.join(found, members["class"] == found["node"], "left").select("entry", "least", F.coalesce("root", "class").alias("root")).write.parquet(f"{place}/rooted")
+    rooted = spark.read.parquet(f"{place}/rooted")
+    rooted.groupBy("root").agg(F.min("least").alias("component")).write.parquet(f"{place}/roots")
+    # both sides are exchanged for the join alone, so a large component's rows can be split
+    entries = rooted.join(spark.read.parquet(f"{place}/roots"), "root").select("entry", "root", "component")
+    documents = rows.where("is_set = 0").select("doc_id", "n", "entry", "digest")
+    wordless = documents.where("entry IS NULL").select("doc_id", "n", "digest", F.lit(None).cast("long").alias("root"), F.lit(None).cast("long").alias("component"))
+    return documents.join(entries, "entry").select("doc_id", "n", "digest", "root", "component").unionByName(wordless)
+
+
+def similar_groups(docs: DataFrame, shingle: int = 4, percent: int = 85, common: int = 50_000, block: int = 1024) -> DataFrame:
+    """Links documents whose shingle sets have a Jaccard similarity of at least ``percent`` / 100.
+
+    Returns per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach).
+    ``common`` bounds the list of frequent elements that all tasks get (8 bytes each), ``block`` the
+    members of a list that are compared at a time; both change nothing but speed.
+    """
+    rows = _grouped(docs, shingle, percent, common, block, shared_dir(docs.sparkSession))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80, common: int = 50_000, block: int = 1024) -> DataFrame:
+    """Of each group one document with the smallest doc_id stays, with all columns; of several with that
+    doc_id the one with the smallest digest of its text. Rows without words are groups of their own and
+    stay, but for repetitions of a row's doc_id and text. A group all of whose doc_ids are null keeps one too."""
+    place = shared_dir(docs.sparkSession)
+    rows = _grouped(docs, shingle, percent, common, block, place).where("component IS NULL OR doc_id <=> component")
+    per_text = rows.groupBy("root", "doc_id", "digest").agg(F.count(F.lit(1)).alias("copies"))
+    per_text.write.parquet(f"{place}/kept")
+    per_text = docs.sparkSession.read.parquet(f"{place}/kept")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest", "copies")).alias("best")
+    chosen = per_text.where("root IS NOT NULL").groupBy("root").agg(best).select("best.doc_id", "best.digest", "best.copies")
+    return keep_one(docs, chosen.unionByName(per_text.where("root IS NULL").drop("root").select("doc_id", "digest", "copies")), digest=text_digest())

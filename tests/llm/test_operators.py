@@ -14,7 +14,7 @@ import pytest
 public_tokenizers = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer  # noqa: E402
 
-from marlstone.llm import bpe, exactdedup, jaccard, ngram_lm, packing, quality, queries, secret_scan, suffix_dedup, tokenids, toxicity  # noqa: E402
+from marlstone.llm import bpe, components, exactdedup, jaccard, ngram_lm, packing, quality, queries, secret_scan, suffix_dedup, tokenids, toxicity  # noqa: E402
 from marlstone.llm.eliasfano import EliasFano  # noqa: E402
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -121,10 +121,16 @@ def test_lsm_index():
 
 
 def test_jaccard(docs, rows, empty):
+    assert {i: (r.n_shingles, r.component_id) for i, r in got(jaccard.similar_groups(docs)).items()} == brute_components(dict(rows), 4, 85)
+    assert jaccard.similar_groups(empty).count() == 0
+
+
+def brute_components(texts: dict[int, str | None], size: int, percent: int) -> dict[int, tuple[int, int]]:
+    """Of each number the set's size and the smallest number that links reach."""
     sets = {}
-    for i, t in rows:
+    for i, t in texts.items():
         w = WORD.findall((t or "").translate(LOW))
-        sets[i] = frozenset(tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))) if w else frozenset()
+        sets[i] = frozenset(tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))) if w else frozenset()
     root = {i: i for i in sets}
 
     def find(x):
@@ -134,11 +140,47 @@ def test_jaccard(docs, rows, empty):
 
     for a in sets:
         for b in sets:
-            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
-    assert {i: (r.n_shingles, r.component_id) for i, r in got(jaccard.similar_groups(docs)).items()} == {i: (len(s), find(i)) for i, s in sets.items()}
-    assert jaccard.similar_groups(empty).count() == 0
+    return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+def near_copies(n: int) -> dict[int, str]:
+    """One text again and again with a few other words, beside others: long lists, many components in them."""
+    rng = random.Random(n)
+    base = [f"w{k}" for k in range(60)]
+    out = {}
+    for i in range(n):
+        w = [f"u{rng.randrange(5)}{k}" for k in range(60)] if i % 5 == 0 else base.copy()
+        for _ in range(rng.randrange(5)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(40)}"
+        out[i] = " ".join(w)
+    return out
+
+
+@pytest.mark.parametrize("block", [3, 16, 1024])
+def test_long_lists_in_blocks(spark, block):
+    texts_ = near_copies(150)
+    docs = spark.createDataFrame(list(texts_.items()), "doc_id long, text string").repartition(3)
+    found = {i: (r.n_shingles, r.component_id) for i, r in got(jaccard.similar_groups(docs, block=block)).items()}
+    assert found == brute_components(texts_, 4, 85) and len({c for _, c in found.values()}) > 5
+
+
+def test_one_of_each_with_repeated_and_missing_ids(spark):
+    near = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    data = [(1, "a b c d e f g"), (1, "a b c d e f g"), (1, "other words that stay here now"), (0, "other words that stay here now"), (None, near), (None, near + " end"), (5, None), (5, ""), (5, None), (6, " "), (None, "alone with no name at all"), (None, "alone with no name at all")]
+    docs = spark.createDataFrame([(i, t, "c") for i, t in data], "doc_id long, text string, component string").repartition(4)
+    kept = sorted(map(tuple, jaccard.one_of_each(docs).collect()), key=str)
+    least = min((near, near + " end"), key=lambda t: hashlib.sha256(t.encode()).digest())
+    assert len(kept) == 6 and sum(r[0] == 5 for r in kept) == 1
+    assert sorted((r for r in kept if r[0] != 5), key=str) == sorted([(1, "a b c d e f g", "c"), (0, "other words that stay here now", "c"), (None, least, "c"), (6, " ", "c"), (None, "alone with no name at all", "c")], key=str)
+
+
+def test_components_of_a_long_chain(spark, tmp_path):
+    n = 3000
+    edges = spark.range(n - 1).selectExpr("id AS a", "id + 1 AS b")
+    assert components.components(edges, f"file://{tmp_path}/c").select("root").distinct().collect()[0].root == 0
 
 
 def test_links_connect_what_pairs_connect():
