@@ -6,16 +6,18 @@ anchor and the bytes before it. Equal windows have equal anchors at equal places
 whose anchor's hash occurs twice in the corpus can hold a repeat.
 
 Their suffixes are sorted: each task sorts its own, joins equal ones, and exchanges front-coded runs
-(the length of the prefix shared with the one before, and the rest). A loser tree merges the runs of
-a bucket; each of its nodes remembers how long a prefix its suffix shares with the last one put out,
+(the length of the prefix shared with the one before, and the rest), cut into ranges of the sort's
+key, more of them the more there is to sort. A loser tree merges the runs of a range; each of its nodes remembers how long a prefix its suffix shares with the last one put out,
 so known prefixes are never compared again, and the merge yields the common prefixes of neighbours.
 With the shared bytes before the anchors, these say which windows of a segment occur elsewhere. The
-answer is kept by a segment's content, not its place, and every document looks its segments up: a
-passage that a third of all documents share costs no more than one that two share.
+answer is kept by a segment's content, not its place, and every document looks its segments up and
+compares the bytes of each hit: a passage that a third of all documents share costs no more than one
+that two share. Segments of an anchor that occurs very often, with ever other surroundings, are cut
+into shorter ones whose common part is longer and spreads them over ranges.
 
 Defined cases: a null or empty text has no bytes and keeps the hash of nothing; repeated rows count
 as occurrences of each other; an empty table gives no rows; columns other than doc_id and text are
-not read; a very long text is cut into overlapping slices for the search.
+not read; a very long text is cut into slices for the search that overlap by a window less a byte.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import get_arrays, keyed_text, mix, over_chunks, put_arrays, shared_dir, string_bytes
+from marlstone.llm.common import get_arrays, keyed_text, mix, over_chunks, partitions, put_arrays, ranges, remove, shared_dir, string_bytes
 
 _B = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _SLICE = 2 << 20
@@ -76,19 +78,42 @@ class Segments:
         self.first, self.last = window[new], window[np.append(new[1:], len(window)) - 1]
         self.anchor = (value[new] & low).astype(np.int64)
         self.key = x[self.anchor]
+        self._name()
+
+    def _name(self) -> None:
         d = (self.anchor - self.first).astype(np.uint64)
-        self.content = mix(self._hash(self.first, self.last + length) + d)
+        self.content = mix(self._hash(self.first, self.last + self.length) + d)
 
+    def take(self, rows: np.ndarray) -> None:
+        self.first, self.last, self.anchor, self.key, self.content = (x[rows] for x in (self.first, self.last, self.anchor, self.key, self.content))
 
-def _slices(part: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    def split(self, hot: SortedFiles | None, width: int = 16) -> None:
+        """Cuts segments of hot anchors into some of at most ``width`` windows; the key is what all windows at such distances from the anchor share."""
+        found = [r for r, _, _ in hot.find(self.key)] if hot and len(self.key) else []
+        if not found:
+            return
+        width = min(width, self.length)
+        rows = np.concatenate(found)
+        least, most = (self.anchor[rows] - self.last[rows]) // width, (self.anchor[rows] - self.first[rows]) // width
+        step, of = ranges(least, most - least + 1) * width, np.repeat(rows, most - least + 1)
+        anchor = self.anchor[of]
+        begin = anchor - step
+        key = mix(self._hash(begin, begin + self.length - width + 1) + step.astype(np.uint64) + np.uint64(1))
+        first, last = np.maximum(self.first[of], begin - width + 1), np.minimum(self.last[of], begin)
+        rest = np.delete(np.arange(len(self.key)), rows)
+        self.first, self.last, self.anchor, self.key = (np.concatenate([a[rest], b]) for a, b in ((self.first, first), (self.last, last), (self.anchor, anchor), (self.key, key)))
+        self._name()
+
+
+def _slices(part: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """A chunk's bytes and text starts; a long text alone comes in slices that overlap by one window less a byte."""
     raw, starts = string_bytes(part.column("text"))
     if len(raw) <= 2 * _SLICE:
         yield raw, starts, 0
         return
     for b, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-        for at in range(b, max(b + 1, e - 200), _SLICE):
-            piece = raw[at : min(e, at + _SLICE + 199)]
+        for at in range(b, max(b + 1, e - length + 1), _SLICE):
+            piece = raw[at : min(e, at + _SLICE + length - 1)]
             yield piece, np.array([0, len(piece)]), at
 
 
@@ -99,27 +124,41 @@ class SortedFiles:
         self.place, self.bits = place, bits
 
     @staticmethod
-    def write(rows: DataFrame, place: str, columns: list[str]) -> SortedFiles:
-        """``rows``: key, and ``columns`` of small integers."""
+    def write(rows: DataFrame, place: str, columns: list[str], data: str | None = None, each: int = 500_000) -> SortedFiles:
+        """``rows``: key, ``columns`` of small integers, and ``data``, a column of bytes. A file has about ``each`` rows."""
         rows.write.parquet(f"{place}/rows")
         rows = rows.sparkSession.read.parquet(f"{place}/rows")
-        bits = max(0, (rows.count() // 500_000).bit_length())
+        bits = max(0, (rows.count() // each).bit_length())
         bucket = F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0).cast("long")
 
         def run(parts: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-            held = [p for p in parts if p.num_rows]
-            if not held:
-                return
-            key, where, *rest = (np.concatenate([p.column(c).to_numpy() for p in held]) for c in ("key", "bucket", *columns))
-            key = key.view(np.uint64)
-            order = np.argsort(key, kind="stable")
-            key, where, rest = key[order], where[order], [r[order] for r in rest]
-            for b in np.unique(where).tolist():
-                mine = where == b
-                put_arrays(f"{place}/{b}.sorted", key=key[mine], **{c: r[mine].astype(np.int16) for c, r in zip(columns, rest, strict=True)})
-                yield {"bucket": [b]}
-
-        over_chunks(rows.withColumn("bucket", bucket).repartition("bucket"), run, "bucket long", limit=0).collect()
+            def put(b: int, held: list[pa.RecordBatch]) -> None:
+                key, *rest = (np.concatenate([p.column(c).to_numpy() for p in held]) for c in ("key", *columns))
+                order = np.argsort(key.view(np.uint64), kind="stable")
+                more = {}
+                if data:
+                    taken = pa.concat_arrays([p.column(data).cast(pa.large_binary()) for p in held]).take(pa.array(order))
+                    more["bytes"], more["ends"] = string_bytes(taken)
+                put_arrays(f"{place}/{b}.sorted", key=key.view(np.uint64)[order], **{c: r[order].astype(np.int16) for c, r in zip(columns, rest, strict=True)}, **more)
+
+            now, held = None, []
+            for part in parts:
+                where = part.column("bucket").to_numpy()
+                cut = np.flatnonzero(np.diff(where)) + 1
+                for begin, end in zip([0, *cut.tolist()], [*cut.tolist(), len(where)], strict=True):
+                    if begin < end:
+                        if held and where[begin] != now:
+                            put(now, held)
+                            yield {"bucket": [now]}
+                            held = []
+                        now = int(where[begin])
+                        held.append(part.slice(begin, end - begin))
+            if held:
+                put(now, held)
+                yield {"bucket": [now]}
+
+        over_chunks(rows.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket"), run, "bucket long", limit=0).count()
+        remove(f"{place}/rows")
         return SortedFiles(place, bits)
 
     def find(self, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]]:
@@ -225,60 +264,64 @@ def merged(runs: list[bytes]) -> Iterator[tuple[int, Entry]]:
 def repeats(group: list[tuple[int, Entry]], length: int) -> Iterator[tuple[Entry, int, int]]:
     """Of the entries of one anchor, in order: which windows occur elsewhere, as spans of bytes before the anchor.
 
-    Entries of one suffix are a block, sorted by the bytes before; so in a block the two neighbours of
-    an entry's place share the most with it. Blocks are visited outwards while the suffixes share
-    enough, and no further once one shares all bytes before.
+    The common prefixes of neighbours make a tree of suffixes. It is closed from its leaves to its
+    root; a node has the bytes before all entries below it, sorted, so the two neighbours of an entry
+    there share the most with it. Of two nodes that join, the smaller one's entries go into the other's.
     """
-    blocks: list[tuple[int, bytes, list[bytes], list[int]]] = []
-    for h, (suffix, before, n) in group:
-        if not blocks or blocks[-1][1] != suffix:
-            blocks.append((h - 8, suffix, [], []))
-        blocks[-1][2].append(before)
-        blocks[-1][3].append(n)
-    for i, (_, suffix, befores, counts) in enumerate(blocks):
-        low = length - len(suffix) + 8
-        for k, before in enumerate(befores):
-            entry, high, spans = (suffix, before, counts[k]), len(before), []
-            if counts[k] > 1:
-                yield entry, low, high
-                continue
-            if len(befores) > 1:
-                spans.append((low, max(common_prefix(before, befores[x]) for x in (k - 1, k + 1) if 0 <= x < len(befores))))
-            for step in (-1, 1):
-                j, h, d = i + step, len(suffix) - 8, -1
-                while 0 <= j < len(blocks) and d < high and (h := min(h, blocks[max(j, j - step)][0])) >= length - high:
-                    other = blocks[j][2]
-                    at = bisect_left(other, before)
-                    # the window with d bytes before the anchor is in both from length - h to the bytes shared before it
-                    d = max(common_prefix(before, other[x]) for x in (at - 1, at) if 0 <= x < len(other))
-                    spans.append((max(low, length - h), d))
-                    j += step
-            at = None
-            for b, e in sorted(x for x in spans if x[0] <= x[1]):
-                if at and b <= at[1] + 1:
-                    at[1] = max(at[1], e)
-                else:
-                    if at:
-                        yield entry, *at
-                    at = [b, e]
-            if at:
-                yield entry, *at
+    spans: list[list[tuple[int, int]]] = [[] for _ in group]
+    stack: list[tuple[int, list[tuple[bytes, int]]]] = []
+
+    def close(until: int) -> None:
+        while len(stack) > 1 and stack[-1][0] >= until:
+            h, a = stack.pop()
+            left, b = stack.pop()
+            if len(a) < len(b):
+                a, b = b, a
+            for entry in b:
+                at = bisect_left(a, entry)
+                for other in a[max(0, at - 1) : at + 1]:
+                    d = common_prefix(entry[0], other[0])
+                    if d >= length - h:  # the windows with length - h to d bytes before the anchor are in both
+                        spans[entry[1]].append((length - h, d))
+                        spans[other[1]].append((length - h, d))
+                a.insert(at, entry)
+            stack.append((left, a))
+
+    for i, (h, (_, before, _)) in enumerate(group):
+        close(h - 8)
+        stack.append((h - 8, [(before, i)]))
+    close(-8)
+    for (_, entry), found in zip(group, spans, strict=True):
+        suffix, before, n = entry
+        low, high, at = length - len(suffix) + 8, len(before), None
+        if n > 1:
+            yield entry, low, high
+            continue
+        for b, e in sorted((max(low, b), e) for b, e in found if max(low, b) <= e):
+            if at and b <= at[1] + 1:
+                at[1] = max(at[1], e)
+            else:
+                if at:
+                    yield entry, *at
+                at = [b, e]
+        if at:
+            yield entry, *at
 
 
 def _anchors(docs: DataFrame, length: int) -> DataFrame:
-    """Hashes of anchors that several segments have."""
+    """Hashes of anchors that several segments have, and how many."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for part in parts:
-            for raw, starts, _ in _slices(part):
+            for raw, starts, _ in _slices(part, length):
                 key, n = np.unique(Segments(raw, starts, length).key, return_counts=True)
-                yield {"key": key.view(np.int64), "n": np.minimum(n, 2)}
+                yield {"key": key.view(np.int64), "n": n}
 
     rows = over_chunks(docs, run, "key long, n long", _SLICE)
-    return rows.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
+    return rows.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
 
 
-def _runs(docs: DataFrame, repeated: SortedFiles, buckets: int, length: int, held_bytes: int = 24 << 20) -> DataFrame:
+def _runs(docs: DataFrame, repeated: SortedFiles, hot: SortedFiles | None, buckets: int, length: int, held_bytes: int = 24 << 20) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         held: list[dict[tuple[bytes, bytes], int]] = [{} for _ in range(buckets)]
         size = 0
@@ -290,15 +333,16 @@ def _runs(docs: DataFrame, repeated: SortedFiles, buckets: int, length: int, hel
             return {"bucket": [b for b, _ in out], "run": [r for _, r in out]}
 
         for part in parts:
-            for raw, starts, _ in _slices(part):
+            for raw, starts, _ in _slices(part, length):
                 s = Segments(raw, starts, length)
                 rows = [r for r, _, _ in repeated.find(s.key)]
                 if not rows:
                     continue
-                rows = np.concatenate(rows)
-                data, keys = raw.tobytes(), s.key[rows].astype(">u8").tobytes()
-                where = (mix(s.key[rows]) % np.uint64(buckets)).tolist()
-                for k, (b, first, anchor, last) in enumerate(zip(where, s.first[rows].tolist(), s.anchor[rows].tolist(), s.last[rows].tolist(), strict=True)):
+                s.take(np.concatenate(rows))
+                s.split(hot)
+                data, keys = raw.tobytes(), s.key.astype(">u8").tobytes()
+                where = ((s.key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).tolist()  # ranges of the key, in order
+                for k, (b, first, anchor, last) in enumerate(zip(where, s.first.tolist(), s.anchor.tolist(), s.last.tolist(), strict=True)):
                     entry = keys[8 * k : 8 * k + 8] + data[anchor : last + length], data[first:anchor][::-1]
                     n = held[b].get(entry, 0)
                     held[b][entry] = n + 1
@@ -313,9 +357,9 @@ def _runs(docs: DataFrame, repeated: SortedFiles, buckets: int, length: int, hel
 
 
 def _found(runs: DataFrame, length: int) -> DataFrame:
-    """Merges the runs of each bucket; a row for each span of repeated windows: the segment's content, least and most bytes before."""
+    """Merges the runs of each bucket; a row for each span of repeated windows: the segment's content, least and most bytes before the anchor, bytes before it in all."""
     table = np.frombuffer(_TABLE.tobytes(), np.uint64)
-    power, inverse = _powers(1 << 12)
+    power, _ = _powers(1 << max(12, (2 * length).bit_length()))
 
     def content(entries: list[Entry]) -> np.ndarray:
         out = np.zeros(len(entries), np.uint64)
@@ -330,7 +374,10 @@ def _found(runs: DataFrame, length: int) -> DataFrame:
         out: list[tuple[Entry, int, int]] = []
 
         def rows() -> dict:
-            return {"key": content([e for e, _, _ in out]).view(np.int64), "low": [x for _, x, _ in out], "high": [x for _, _, x in out]}
+            return {
+                "key": content([e for e, _, _ in out]).view(np.int64), "low": [x for _, x, _ in out], "high": [x for _, _, x in out],
+                "before": [len(p) for (_, p, _), _, _ in out], "bytes": [p[::-1] + s[8:] for (s, p, _), _, _ in out],
+            }
 
         for h, entry in merged(runs):
             if group and entry[:2] == group[-1][1][:2]:  # the same segment from another run
@@ -360,7 +407,7 @@ def _found(runs: DataFrame, length: int) -> DataFrame:
         if held:
             yield from of_bucket(held)
 
-    return over_chunks(runs.repartition("bucket").sortWithinPartitions("bucket"), run, "key long, low int, high int", limit=0)
+    return over_chunks(runs.repartition("bucket").sortWithinPartitions("bucket"), run, "key long, low int, high int, before int, bytes binary", limit=0)
 
 
 def _by_suffix(group: list[tuple[int, Entry]]) -> list[tuple[int, Entry]]:
@@ -381,14 +428,19 @@ def _by_suffix(group: list[tuple[int, Entry]]) -> list[tuple[int, Entry]]:
     return out
 
 
-def _removed(raw: np.ndarray, starts: np.ndarray, found: SortedFiles, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spans of bytes to remove; they may overlap."""
+def _removed(raw: np.ndarray, starts: np.ndarray, found: SortedFiles, hot: SortedFiles | None, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spans of bytes to remove; they may overlap. What a hash finds counts only if the bytes are the same."""
     s = Segments(raw, starts, length)
-    begin, end = [], []
+    s.split(hot)
+    data, begin, end = memoryview(raw), [], []
     for rows, at, file in found.find(s.content):
+        stored = memoryview(file["bytes"])
         while len(rows):
-            begin.append(s.anchor[rows] - file["high"][at])
-            end.append(s.anchor[rows] - file["low"][at] + length)
+            first, last = s.first[rows], s.last[rows] + length
+            places = zip(first.tolist(), last.tolist(), file["ends"][at].tolist(), file["ends"][at + 1].tolist(), strict=True)
+            same = np.fromiter((data[b:e] == stored[x:y] for b, e, x, y in places), bool, len(rows)) & (s.anchor[rows] - first == file["before"][at])
+            begin.append(s.anchor[rows[same]] - file["high"][at[same]])
+            end.append(s.anchor[rows[same]] - file["low"][at[same]] + length)
             at = at + 1
             more = (at < len(file["key"])) & (file["key"][np.minimum(at, len(file["key"]) - 1)] == s.content[rows])
             rows, at = rows[more], at[more]
@@ -396,23 +448,29 @@ def _removed(raw: np.ndarray, starts: np.ndarray, found: SortedFiles, length: in
     return np.concatenate([none, *begin]), np.concatenate([none, *end])
 
 
-def repeated_bytes(docs: DataFrame, length: int = 200) -> DataFrame:
+def repeated_bytes(docs: DataFrame, length: int = 200, often: int = 200_000, range_bytes: int = 64 << 20) -> DataFrame:
     """Removes every byte that a ``length``-byte string covers which also starts anywhere else.
 
-    Returns per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+    Returns per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256. Segments of an anchor that
+    occurs more than ``often`` times are cut shorter; a range to sort has about ``range_bytes``. Both
+    change nothing but speed.
     """
     spark = docs.sparkSession
     place, docs = shared_dir(spark), keyed_text(docs)
-    repeated = SortedFiles.write(_anchors(docs, length), f"{place}/anchors", [])
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = SortedFiles.write(_found(_runs(docs, repeated, buckets, length), length), f"{place}/found", ["low", "high"])
+    _anchors(docs, length).write.parquet(f"{place}/counts")
+    counts = spark.read.parquet(f"{place}/counts")
+    total = counts.agg(F.sum("n").alias("n"), F.max("n").alias("most")).first()
+    repeated = SortedFiles.write(counts.select("key"), f"{place}/anchors", [])
+    hot = SortedFiles.write(counts.where(F.col("n") > often).select("key"), f"{place}/hot", []) if (total.most or 0) > often else None
+    buckets = max(partitions(spark), (total.n or 0) * 2 * length // range_bytes)
+    found = SortedFiles.write(_found(_runs(docs, repeated, hot, buckets, length), length), f"{place}/found", ["low", "high", "before"], "bytes", 200_000)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for part in parts:
             raw, starts = string_bytes(part.column("text"))
             edge = np.zeros(len(raw) + 1, np.int32)
-            for piece, inner, at in _slices(part):
-                begin, end = _removed(piece, inner, found, length)
+            for piece, inner, at in _slices(part, length):
+                begin, end = _removed(piece, inner, found, hot, length)
                 np.add.at(edge, begin + at, 1)
                 np.add.at(edge, end + at, -1)
             gone = np.cumsum(edge)[:-1] > 0

@@ -206,21 +206,64 @@ def test_links_connect_what_pairs_connect():
         assert all(alike(sets[i], sets[j]) for i, j in mine) and parts(mine) == parts(pairs)
 
 
-def test_suffix_dedup(docs, rows, empty):
-    data = {i: (t or "").encode() for i, t in rows}
-    seen = Counter(d[k : k + 200] for d in data.values() for k in range(len(d) - 199))
-    expected = {}
+def brute_repeats(data: dict[int, bytes], length: int) -> dict[int, tuple]:
+    seen = Counter(d[k : k + length] for d in data.values() for k in range(len(d) - length + 1))
+    out = {}
     for i, d in data.items():
         gone = bytearray(len(d))
-        for k in range(len(d) - 199):
-            if seen[d[k : k + 200]] > 1:
-                gone[k : k + 200] = b"\1" * 200
+        for k in range(len(d) - length + 1):
+            if seen[d[k : k + length]] > 1:
+                gone[k : k + length] = b"\1" * length
         spans = sum(1 for k in range(len(gone)) if gone[k] and (k == 0 or not gone[k - 1]))
-        expected[i] = (len(d), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(d, gone, strict=True) if not g)).hexdigest())
-    assert {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in got(suffix_dedup.repeated_bytes(docs)).items()} == expected
+        out[i] = (len(d), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(d, gone, strict=True) if not g)).hexdigest())
+    return out
+
+
+def removed(df) -> dict[int, tuple]:
+    return {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in got(df).items()}
+
+
+def test_suffix_dedup(docs, rows, empty):
+    assert removed(suffix_dedup.repeated_bytes(docs)) == brute_repeats({i: (t or "").encode() for i, t in rows}, 200)
     assert suffix_dedup.repeated_bytes(empty).count() == 0
 
 
+@pytest.mark.parametrize(("length", "often"), [(12, 10**9), (40, 10**9), (40, 2), (61, 5)])
+def test_suffix_dedup_of_hot_anchors(spark, length, often):
+    """One passage shorter than a window in most texts, between ever other ones that agree for a while."""
+    rng = random.Random(length + often)
+    some = lambda n: "".join(rng.choice("ab") for _ in range(n))
+    left, right, hot = some(60), some(60), some(3 * length // 4)
+    data = {i: (some(rng.randrange(30)) + left[rng.randrange(60) :] + hot + right[: rng.randrange(60)] + some(rng.randrange(30))) * rng.choice((1, 1, 1, 2)) for i in range(120)}
+    df = spark.createDataFrame(list(data.items()), "doc_id long, text string").repartition(3)
+    assert removed(suffix_dedup.repeated_bytes(df, length, often, 1 << 10)) == brute_repeats({i: t.encode() for i, t in data.items()}, length)
+
+
+def test_suffix_dedup_at_the_end_of_slices(spark):
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    data = []
+    for k, n in enumerate((4194503, 4194504, 4194505, 2 * 2097152 + 199, 3 * 2097152 + 300)):
+        text = "".join(rng.choices(letters, k=n))
+        data += [(2 * k, text), (2 * k + 1, "".join(rng.choices(letters, k=500)) + text[-200:])]
+    out = removed(suffix_dedup.repeated_bytes(spark.createDataFrame(data, "doc_id long, text string").repartition(4)))
+    assert all(out[i][1:3] == (200, 1) and out[i][3] == hashlib.sha256(t[:-200].encode()).hexdigest() for i, t in data)
+
+
+def test_suffix_dedup_compares_bytes(tmp_path):
+    """A segment's hash that finds other bytes removes nothing."""
+    raw = np.frombuffer(bytes(random.Random(1).choices(range(256), k=300)), np.uint8)
+    s = suffix_dedup.Segments(raw, np.array([0, 300]), 200)
+    for flip in (0, 1):
+        place = f"file://{tmp_path}/{flip}"
+        order = np.argsort(s.content)
+        texts_ = [bytes(raw[b:e] ^ (flip if k == 0 else 0)) for k, (b, e) in enumerate(zip(s.first[order], s.last[order] + 200, strict=True))]
+        whole = {"low": s.anchor - s.last, "high": s.anchor - s.first, "before": s.anchor - s.first}
+        suffix_dedup.put_arrays(f"{place}/0.sorted", key=s.content[order], ends=np.concatenate([[0], np.cumsum([len(t) for t in texts_])]), bytes=np.frombuffer(b"".join(texts_), np.uint8), **{k: v[order].astype(np.int16) for k, v in whole.items()})
+        begin, _ = suffix_dedup._removed(raw, np.array([0, 300]), suffix_dedup.SortedFiles(place, 0), None, 200)
+        assert len(begin) == len(order) - flip
+
+
 def test_merge_of_runs():
     rng = random.Random(4)
     entries = [[(bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 9))), b"", 1) for _ in range(rng.randint(0, 40))] for _ in range(7)]
