@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import keyed_text, over_chunks, shared_dir, task_number
+from marlstone.llm.common import CHUNK_BYTES, keyed_text, over_chunks, shared_dir, task_number
 from marlstone.llm.wordcache import word_encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -130,7 +130,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> Data
         for part in parts:
             ids, n = encoder.encode(part.column("text"))
             first = np.cumsum(n) - n
-            stream = np.insert(ids, first + n, end_id).astype("<u4")
+            stream = np.insert(ids.astype("<u4"), first + n, end_id)
             n = n + 1
             row, number, start, length = cut(n, capacity)
             begin = (np.cumsum(n) - n)[row] + start
@@ -145,7 +145,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> Data
             seen += np.bincount(length, minlength=capacity + 1)
             yield {"doc_id": part.column("doc_id").take(pa.array(row)), "piece": number.astype(np.int32), "start": start, "length": length, "ids_crc32": crc, "task": np.full(len(row), task), "rank": rank}
 
-    return over_chunks(keyed_text(docs), run, PIECES + ", task long, rank long")
+    return over_chunks(keyed_text(docs), run, PIECES + ", task long, rank long", CHUNK_BYTES // 2)
 
 
 def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ import pytest
 public_tokenizers = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer  # noqa: E402
 
-from marlstone.llm import bpe, components, exactdedup, jaccard, ngram_lm, packing, quality, queries, secret_scan, suffix_dedup, tokenids, toxicity  # noqa: E402
+from marlstone.llm import bpe, components, exactdedup, jaccard, ngram_lm, packing, quality, queries, secret_scan, suffix_dedup, tokenids, toxicity, wordcache  # noqa: E402
 from marlstone.llm.eliasfano import EliasFano  # noqa: E402
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -282,6 +282,21 @@ def test_bpe(docs, rows, empty):
     assert bpe.encode_decode(empty, path).count() == 0
 
 
+def test_word_encoder_against_the_library():
+    """Texts with white space of all kinds at every place, and a cache that fills up."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, rng = Tokenizer.from_file(path), random.Random(3)
+    bits = [" ", "  ", "\n", "\t", "a", "the", "é", "don't", "<|endoftext|>", "\u3000", "\xa0", "\x1c", "\x85", "12", "!!", "Ġ", "日本", "\u200b", "\u180e", "hello", "\r\n", "🙂", "'s", "\ufeff"]
+    for limit in (0, 30, 300_000):
+        encoder = wordcache.WordEncoder(path, limit)
+        for _ in range(60):
+            data = ["".join(rng.choice(bits) + (" " if rng.random() < 0.5 else "") for _ in range(rng.randint(0, 12))) for _ in range(40)]
+            ids, n = encoder.encode(pa.array(data))
+            expected = [library.encode(t, add_special_tokens=False).ids for t in data]
+            assert n.tolist() == [len(x) for x in expected] and ids.tolist() == [i for x in expected for i in x]
+        assert len(encoder.known) <= limit + 1000
+
+
 def test_token_files_and_packing(docs, rows, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
