@@ -17,15 +17,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import get_arrays, keyed_text, over_chunks, put_arrays, shared_dir, task_number
+from marlstone.llm.common import CHUNK_BYTES, get_arrays, keyed_text, over_chunks, partitions, put_arrays, shared_dir, task_number
 from marlstone.llm.eliasfano import EliasFano
 from marlstone.llm.wordcache import word_encoder
 
 #: doc_ids are stored as unsigned distances from the smallest one.
 _LEAST = np.iinfo(np.int64).min
+FILES = "uri string, task long, number long, n_docs long, n_ids long"
 
 
 class TokenFile:
@@ -63,10 +64,10 @@ def write_tokens(uri: str, doc_ids: np.ndarray, has_id: np.ndarray, ids: np.ndar
 
 
 def write_files(docs: DataFrame, path: str, place: str, end_id: int = 2, file_ids: int = 1 << 24) -> DataFrame:
-    """Writes the files of all documents in ascending order of doc_id and returns one row per file: uri, n_docs, n_ids.
+    """Writes the files of all documents in ascending order of doc_id and returns one row per file: uri, task, number, n_docs, n_ids.
 
     A range partition of doc_id is one task's; it starts a new file when one has ``file_ids`` ids, so
-    no task holds more than that. The rows come in the order of the files when sorted by uri.
+    no task holds more than that. Files ascend by task and number.
     """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -79,11 +80,11 @@ def write_files(docs: DataFrame, path: str, place: str, end_id: int = 2, file_id
             uri = f"{place}/{task:07d}-{number:05d}.tok"
             write_tokens(uri, doc, has, ids, n)
             held, size, number = [], 0, number + 1
-            return {"uri": [uri], "n_docs": [len(n)], "n_ids": [len(ids)]}
+            return {"uri": [uri], "task": [task], "number": [number], "n_docs": [len(n)], "n_ids": [len(ids)]}
 
         for part in parts:
             ids, n = encoder.encode(part.column("text"))
-            stream = np.insert(ids, np.cumsum(n), end_id).astype("<u4" if wide else "<u2")
+            stream = np.insert(ids.astype("<u4" if wide else "<u2", copy=False), np.cumsum(n), end_id)
             column = part.column("doc_id")
             held.append((column.fill_null(_LEAST).to_numpy(), column.is_valid().to_numpy(zero_copy_only=False), stream, n + 1))
             size += len(stream)
@@ -93,21 +94,25 @@ def write_files(docs: DataFrame, path: str, place: str, end_id: int = 2, file_id
             yield flush()
 
     ordered = keyed_text(docs).repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")
-    return over_chunks(ordered, run, "uri string, n_docs long, n_ids long")
+    return over_chunks(ordered, run, FILES, CHUNK_BYTES // 2)
 
 
 def token_files(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
     """Encodes all documents, writes their files and reads them back.
 
     Returns per document, from the files: doc_id, start (ids of all documents before it), n_tokens,
-    ids_crc32 (over 32-bit little-endian ids). The list of files, a row each, passes the driver.
+    ids_crc32 (over 32-bit little-endian ids). The driver gets one sum for each range of doc_ids.
     """
     spark = docs.sparkSession
     place = shared_dir(spark)
-    files = sorted(write_files(docs, path, place, end_id).collect())
-    before = np.cumsum([0, *(f.n_ids for f in files)])
-    rows = [(f.uri, int(b)) for f, b in zip(files, before, strict=False)]
-    table = spark.createDataFrame(rows, "uri string, before long").repartition(max(1, len(rows)))
+    write_files(docs, path, place, end_id).write.parquet(f"{place}/list")
+    files = spark.read.schema(FILES).parquet(f"{place}/list")
+    sums = sorted(files.groupBy("task").agg(F.sum("n_ids").alias("n")).collect())
+    before = spark.createDataFrame([(r.task, int(n)) for r, n in zip(sums, np.cumsum([0, *(r.n for r in sums)]), strict=False)], "task long, earlier long")
+    in_task = Window.partitionBy("task").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    placed = files.withColumn("inner", F.coalesce(F.sum("n_ids").over(in_task), F.lit(0))).join(before, "task")
+    # a file is much work for a short row: a stated number of partitions isn't merged by bytes
+    table = placed.select("uri", (F.col("earlier") + F.col("inner")).alias("before")).repartition(max(partitions(spark), len(sums)), "uri")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for part in parts:
