@@ -1,5 +1,7 @@
 """What the engine raises."""
 
+import re
+
 
 class EngineError(Exception):
     """Base class."""
@@ -39,8 +41,34 @@ class QueryTypeError(EngineError):
 
 
 class QueryRuntimeError(EngineError):
-    """A fault of the data: a key twice, or a subquery without exactly one row."""
+    """A fault of the data: a key twice, a subquery without exactly one row, an aggregate that is too large."""
+
+
+class QueryEvalError(QueryTypeError):
+    """An expression that a row's values make fail: division by zero, a number that is too large."""
 
 
 class Cancelled(EngineError):
     """The request was cancelled before it committed."""
+
+
+ONE_ROW = "a subquery in an expression has exactly one row"
+AGGREGATE_SIZE = "an aggregate doesn't fit its type"
+
+
+def of_spark(e: BaseException) -> BaseException:
+    """The dialect's error for what Spark raised when it computed rows; anything else as it is."""
+    text, seen, cause = str(e), 0, getattr(e, "_origin", None) or e
+    cause = getattr(cause, "java_exception", cause)
+    while cause is not None and hasattr(cause, "getCause") and seen < 50:
+        text, cause, seen = f"{text}\n{cause.getMessage()}", cause.getCause(), seen + 1
+    if isinstance(e, EngineError):
+        return e
+    for words in (ONE_ROW, AGGREGATE_SIZE):
+        if words in text:
+            return QueryRuntimeError(words)
+    if found := re.search(r"DIVIDE_BY_ZERO|REMAINDER_BY_ZERO|\w*OVERFLOW\w*|CAST_INVALID_INPUT|NUMERIC_VALUE_OUT_OF_RANGE", text):
+        return QueryEvalError(found[0])
+    if re.search(r"cancelled (as )?part of cancelled job group|SPARK_JOB_CANCELLED|Job \d+ cancelled", text):
+        return Cancelled("the request's jobs were cancelled")
+    return e

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from marlstone.errors import QueryTypeError
+from marlstone.errors import AGGREGATE_SIZE, QueryTypeError
 
 _WHOLE = {"tinyint", "smallint", "int", "bigint"}
 _REAL = {"float", "double"}
@@ -80,14 +80,17 @@ def unary(op: str, x: Column, t: str) -> Column:
     return -x if op == "-" else x
 
 
-def binary(op: str, x: Column, y: Column, a: str, b: str) -> Column:
-    """Whole numbers divide towards zero; division and remainder by zero fail; a comparison with NULL is NULL."""
+def binary(op: str, x: Column, y: Column, a: str, b: str, null_and: bool = False) -> Column:
+    """Whole numbers divide towards zero; division and remainder by zero fail; a comparison with NULL is NULL.
+    ``null_and``: so is AND of anything with NULL, FALSE too."""
     if op == "<=>":
         # values of different kinds are never equal, NULL equals NULL
         return x.eqNullSafe(y) if NULL in (a, b) or _kind(a) == _kind(b) else x.isNull() & y.isNull()
     out = binary_type(op, a, b)
     if op in ("AND", "OR"):
         x, y = x.cast("boolean"), y.cast("boolean")
+        if op == "AND" and null_and:
+            return F.when(x.isNotNull() & y.isNotNull(), x & y)
         return x & y if op == "AND" else x | y
     if op == "||":
         return F.concat(x.cast("string"), y.cast("string"))
@@ -99,14 +102,25 @@ def binary(op: str, x: Column, y: Column, a: str, b: str) -> Column:
     return {"+": x + y, "-": x - y, "*": x * y, "%": x % y}[op]
 
 
-def aggregate_type(name: str, t: str) -> str:
+def aggregate_type(name: str, t: str, own: bool = False) -> str:
+    """``own``: all tables were made by DDL, so whole numbers are of 32 bits."""
+    whole = "int" if own else "bigint"
     if name == "COUNT":
-        return "bigint"
+        return whole
     _need(is_number(t) or t == NULL, name, t)
-    return "double" if t in _REAL or t.startswith("decimal") else "bigint"
+    return "double" if t in _REAL or t.startswith("decimal") else whole
 
 
-def aggregate(name: str, x: Column, t: str, distinct: bool) -> Column:
+def aggregate(name: str, x: Column, t: str, distinct: bool, out: str) -> Column:
+    """An aggregate as its type ``out``; one that doesn't fit fails."""
+    value = _aggregate(name, x, t, distinct)
+    if out != "int":
+        return value
+    fits = value.isNull() | value.between(-(1 << 31), (1 << 31) - 1)
+    return F.when(fits, value).otherwise(F.raise_error(F.lit(AGGREGATE_SIZE)).cast("bigint")).cast("int")
+
+
+def _aggregate(name: str, x: Column, t: str, distinct: bool) -> Column:
     """AVG of whole numbers is their sum divided by their number, towards zero."""
     if name == "COUNT":
         return F.count_distinct(x) if distinct else F.count(x)

@@ -8,6 +8,7 @@ and aggregations only, whose equality conditions it finds itself.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from itertools import count
 
@@ -15,6 +16,7 @@ from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone import errors
 from marlstone.functions import scalar
 from marlstone.plans import ast
 from marlstone.plans.bind import BoundJoin, BoundQuery, Column, Leaf, references, subqueries
@@ -31,10 +33,10 @@ def all_true(conditions: list[SparkColumn]) -> SparkColumn:
 
 
 class Lowering:
-    """``tables``: name -> DataFrame with the table's columns. ``strict``: a subquery in an expression has exactly one row."""
+    """``rows``: a table's DataFrame by its name. ``strict``: a subquery in an expression has exactly one row. ``null_and``: see ``scalar.binary``."""
 
-    def __init__(self, tables: dict[str, DataFrame], strict: bool = True):
-        self.tables, self.strict = tables, strict
+    def __init__(self, rows: Callable[[str], DataFrame], strict: bool = True, null_and: bool = False):
+        self.rows, self.strict, self.null_and = rows, strict, null_and
 
     # expressions
 
@@ -48,9 +50,9 @@ class Lowering:
         if isinstance(e, ast.Unary):
             return scalar.unary(e.op, self.column(e.arg, known), e.arg.type)
         if isinstance(e, ast.Binary):
-            return scalar.binary(e.op, self.column(e.left, known), self.column(e.right, known), e.left.type, e.right.type)
+            return scalar.binary(e.op, self.column(e.left, known), self.column(e.right, known), e.left.type, e.right.type, self.null_and)
         if isinstance(e, ast.Aggregate):
-            return scalar.aggregate(e.name, self.column(e.arg, known), e.arg.type, e.distinct)
+            return scalar.aggregate(e.name, self.column(e.arg, known), e.arg.type, e.distinct, e.type)
         return known[e]
 
     def attach(self, df: DataFrame, expressions: list) -> tuple[DataFrame, dict[object, SparkColumn]]:
@@ -71,7 +73,7 @@ class Lowering:
                 df = df.crossJoin(F.broadcast(rows))  # one row
             known[node] = F.col(value)
             if not q.single:
-                wrong = F.raise_error(F.lit("a subquery in an expression has exactly one row")).cast(q.out[0].type)
+                wrong = F.raise_error(F.lit(errors.ONE_ROW)).cast(q.out[0].type)
                 one = F.when(F.col(n) == 1, F.col(value))
                 none = F.coalesce(F.col(n), F.lit(0)) == 0
                 known[node] = one.otherwise(wrong) if self.strict else one.when(none, F.lit(None)).otherwise(wrong)
@@ -93,7 +95,7 @@ class Lowering:
 
     def leaf(self, leaf: Leaf, bindings: DataFrame | None) -> DataFrame:
         if leaf.table is not None:
-            df = self.tables[leaf.table].select(*(F.col(f"`{c.name}`").alias(c.internal) for c in leaf.columns))
+            df = self.rows(leaf.table).select(*(F.col(f"`{c.name}`").alias(c.internal) for c in leaf.columns))
             return bindings.crossJoin(df) if bindings is not None else df
         q = leaf.query
         names = [F.col(o.internal).alias(c.internal) for o, c in zip(q.out, leaf.columns, strict=True)]
@@ -220,8 +222,8 @@ class Lowering:
             renamed = {k: fresh("k") for k in keys}
             groups = groups.select(*(F.col(k).alias(r) for k, r in renamed.items()), *(c.internal for c in q.out))
             df = bindings.join(groups, all_true([F.col(k).eqNullSafe(F.col(r)) for k, r in renamed.items()]), "left")
-            counts = {c.internal for e, c in q.items if e.name == "COUNT"}
-            df = df.select(*keys, *(F.coalesce(c.internal, F.lit(0)).cast("bigint").alias(c.internal) if c.internal in counts else F.col(c.internal) for c in q.out))
+            counts = {c.internal: c.type for e, c in q.items if e.name == "COUNT"}
+            df = df.select(*keys, *(F.coalesce(c.internal, F.lit(0)).cast(counts[c.internal]).alias(c.internal) if c.internal in counts else F.col(c.internal) for c in q.out))
         return df.distinct() if q.distinct else df
 
 

@@ -98,6 +98,13 @@ SELECTS: dict[str, tuple[str, str | None]] = {
         "WITH nation AS (SELECT r_regionkey AS k FROM region) SELECT T.k FROM (WITH nation AS (SELECT k + 100 AS k FROM nation) SELECT k FROM nation) AS T JOIN nation ON T.k = nation.k + 100",
         "SELECT r_regionkey + 100 AS k FROM region",
     ),
+    "star_over_join": ("SELECT * FROM nation AS N JOIN region AS R ON N.n_regionkey = R.r_regionkey", None),
+    "star_over_outer_join": ("SELECT * FROM (SELECT r_regionkey AS a, r_name AS b FROM region) AS T LEFT JOIN (SELECT n_nationkey AS c, n_regionkey AS d FROM nation WHERE n_nationkey < 4) AS U ON T.a = U.d", None),
+    "star_repeated": (
+        "SELECT *, r_regionkey + 1, * FROM region",
+        "SELECT r_regionkey AS r_regionkey_1, r_name AS r_name_2, r_regionkey + 1 AS column_3, r_regionkey AS r_regionkey_4, r_name AS r_name_5 FROM region",
+    ),
+    "agg_count_rows": ("SELECT COUNT(*) AS n FROM nation WHERE n_regionkey > 1", None),
     "alias_shadow": ("SELECT N.n_name FROM nation AS N WHERE (SELECT COUNT(N.r_regionkey) FROM region AS N WHERE N.r_regionkey = n_regionkey) = 1", "SELECT n_name FROM nation"),
 }
 
@@ -115,6 +122,10 @@ SCRIPTS: dict[str, tuple[list[str], str]] = {
         ["UPDATE nation AS N SET n_regionkey = (SELECT COUNT(c_custkey) FROM customer WHERE c_nationkey = N.n_nationkey) WHERE n_nationkey > 20; SELECT n_nationkey, n_regionkey FROM nation"],
         "SELECT n_nationkey, CASE WHEN n_nationkey > 20 THEN CAST((SELECT COUNT(c_custkey) FROM customer WHERE c_nationkey = n_nationkey) AS INT) ELSE n_regionkey END AS n_regionkey FROM nation",
     ),
+    "change_in_with": (
+        ["WITH b AS (SELECT n_nationkey AS k, n_name AS old FROM nation), a AS (UPDATE nation SET n_name = n_name || '!' WHERE n_regionkey = 1) SELECT a.n_nationkey, a.n_name, old FROM a JOIN b ON a.n_nationkey = b.k"],
+        "SELECT n_nationkey, n_name || '!' AS n_name, n_name AS old FROM nation WHERE n_regionkey = 1",
+    ),
     "txn_delete": (["DELETE FROM nation WHERE n_regionkey = 2; SELECT n_nationkey, n_name FROM nation"], "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey <> 2"),
     "delete_subquery": (["DELETE FROM customer WHERE (SELECT COUNT(o_orderkey) FROM orders WHERE o_custkey = c_custkey) > 9; SELECT c_custkey FROM customer"], "SELECT c_custkey FROM customer WHERE (SELECT COUNT(o_orderkey) FROM orders WHERE o_custkey = c_custkey) <= 9"),
     "txn_multi_stage": (
