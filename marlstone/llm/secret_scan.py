@@ -3,20 +3,26 @@
 A candidate is a run of 16 or more of ``[A-Za-z0-9+/_=-]`` with a letter and two digits. The network
 reads it in overlapping windows, to its last character, each with the characters around it: an
 embedding, one convolution, the maximum over the window's value and over its surroundings, a hidden
-layer. A candidate's probability is the highest of its windows. The network is trained in numpy on labelled findings:
-what the patterns found in all documents (a bounded number, by a hash of the window), against other
-long runs in a bounded sample of documents, half of the findings with foreign surroundings so that the value itself has to tell. Platt scaling on rows kept
-out of the training calibrates it; its threshold is the highest that still recalls
-``recall`` of the findings kept out.
-
-Defined cases: a null or empty text has no spans; with fewer than ten findings or other runs to learn
-from nothing is added to the patterns' spans, and ``fit`` warns of it; repeated rows are scanned alike; an empty table gives no rows; columns
-other than doc_id and text are not read.
+layer. A candidate's probability is the highest of its windows.
+
+It is trained in numpy on labelled findings: what the patterns found in all documents (a bounded
+number, by a hash of the window), and keys made up after the published formats of some providers,
+between characters of the corpus. Against them stand other long runs of a bounded sample of documents,
+and names, paths and numbers made up from their words. The threshold has to recall ``recall`` of
+kinds that a network has *not* seen: the kinds are dealt in folds, each fold's are judged by a network
+that learned from the others, Platt scaling of these scores calibrates, and the threshold is the
+highest that recalls enough of them. The share of kept-out other runs above it is reported.
+
+Defined cases: a null or empty text has no spans; with fewer than ten other runs to learn from nothing
+is added to the patterns' spans, and ``fit`` warns of it; repeated rows are scanned alike; an empty
+table gives no rows; a very long text or run is read to its end; columns other than doc_id and text
+are not read. The model doesn't depend on how the rows are dealt out.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import warnings
 from collections.abc import Iterator
@@ -25,10 +31,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import filled_text, keyed_text, over_chunks, per_chunk, string_bytes
+from marlstone.llm.common import filled_text, keyed_text, over_chunks, per_chunk, remove, shared_dir, string_bytes
 
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -107,6 +114,7 @@ class SecretModel:
     p: dict[str, np.ndarray] = field(default_factory=dict)
     scale: tuple[float, float] = (1.0, 0.0)
     threshold: float = 2.0
+    report: dict[str, float] = field(default_factory=dict)  # recall of kinds left out, by kind and in all; false positives
 
     def forward(self, x: np.ndarray) -> tuple[np.ndarray, tuple]:
         p, k = self.p, 5
@@ -152,48 +160,161 @@ class SecretModel:
         return g
 
 
-def train(positive: list[bytes], negative: list[bytes], recall: float = 0.98, steps: int = 400, seed: int = 7) -> SecretModel:
-    """Windows of findings and of other runs -> a calibrated model. Every fifth window is kept out for calibration."""
-    if min(len(positive), len(negative)) < 10:
-        return SecretModel()
+_UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+_MIXED = _UPPER + _LOWER + _DIGITS
+#: Published formats of keys, as parts that are literal or (alphabet, length).
+FORMATS: dict[str, list[str | tuple[str, int]]] = {
+    "github": ["ghp_", (_MIXED, 36)],
+    "github_fine": ["github_pat_", (_MIXED, 22), "_", (_MIXED, 59)],
+    "gitlab": ["glpat-", (_MIXED + "-_", 20)],
+    "slack_bot": ["xoxb-", (_DIGITS, 11), "-", (_DIGITS, 12), "-", (_MIXED, 24)],
+    "stripe": ["sk_live_", (_MIXED, 24)],
+    "google": ["AIza", (_MIXED + "-_", 35)],
+    "aws_secret": [(_MIXED + "+/", 40)],
+    "jwt_part": ["eyJ", (_MIXED + "-_", 60)],
+    "npm": ["npm_", (_MIXED, 36)],
+    "twilio": ["SK", (_DIGITS + "abcdef", 32)],
+    "hex_28": [(_DIGITS + "abcdef", 28)],
+    "base64_32": [(_MIXED + "+/", 43), "="],
+    "lower_24": [(_LOWER + _DIGITS, 24)],
+    "upper_20": [(_UPPER + _DIGITS, 20)],
+    "mixed_18": [(_MIXED, 18)],
+    "mixed_32": [(_MIXED, 32)],
+}
+_BEFORE = [" ", "=", ": ", '"', "'", "(", "\n", ",", "Bearer ", "key ", "<", ":"]
+_AFTER = [" ", '"', "'", ")", "\n", ",", ".", ";", ">", "&"]
+
+
+def made_up_keys(others: list[bytes], each: int, seed: int) -> dict[str, list[bytes]]:
+    """Windows of keys after ``FORMATS`` between surroundings of other runs."""
+    rng = random.Random(seed)
+    around = [(w[:SIDE].lstrip(b"\0").decode("latin-1"), w[SIDE + VALUE :].rstrip(b"\0").decode("latin-1")) for w in others]
+    out: dict[str, list[bytes]] = {}
+    for kind, parts in FORMATS.items():
+        out[kind] = []
+        while len(out[kind]) < each:
+            value = "".join(p if isinstance(p, str) else "".join(rng.choices(p[0], k=p[1])) for p in parts)
+            left, right = rng.choice(around)[0] + rng.choice(_BEFORE), rng.choice(_AFTER) + rng.choice(around)[1]
+            text = left + value + right
+            out[kind] += [window(text, *x) for x in _some(len(left), len(left) + len(value), 2)]
+    return out
+
+
+def made_up_names(others: list[bytes], n: int, seed: int) -> list[bytes]:
+    """Windows of paths, identifiers, numbers and dates from words of other runs."""
+    rng = random.Random(seed)
+    values = [re.sub(r"[^A-Za-z]", "", w[SIDE : SIDE + VALUE].decode("latin-1")) for w in others]
+    named = sorted({v for v in values if 2 < len(v) < 30}) or ["value", "name", "file"]
+    around = [(w[:SIDE].lstrip(b"\0").decode("latin-1"), w[SIDE + VALUE :].rstrip(b"\0").decode("latin-1")) for w in others]
+
+    def word() -> str:
+        w = rng.choice(named)
+        w = w[: rng.randint(3, 12)]
+        return rng.choice([w, w, w.lower(), w.title(), w.upper()])
+
+    number = lambda: str(rng.randrange(10 ** rng.randint(1, 6)))
+    date = lambda: f"{rng.randint(1970, 2035)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}"
+    shapes = [
+        lambda: rng.choice("-_/").join(rng.choice([word, word, number])() for _ in range(rng.randint(2, 7))),
+        lambda: "/" + "/".join(rng.choice([word, word, number, date])() for _ in range(rng.randint(2, 6))),
+        lambda: "".join(word().title() for _ in range(rng.randint(2, 4))) + number(),
+        lambda: f"{word()}_{date()}" + rng.choice(["", "T12", f"_{number()}", f"-v{number()}"]),
+        lambda: f"{word().upper()}-{rng.randint(1990, 2035)}-{rng.randrange(10**6):06}",
+        lambda: "-".join(number() for _ in range(rng.randint(3, 6))) + rng.choice(["", "x", "a"]),
+        lambda: rng.choice("-_=") * rng.randint(16, 60) + rng.choice(["", word(), number()]),
+        lambda: word() + rng.choice(["=", "+", "/"]) + number() + rng.choice(["_", "-"]) + word(),
+    ]
+    out: list[bytes] = []
+    while len(out) < n:
+        left, value, right = rng.choice(around)[0] + rng.choice(_BEFORE), rng.choice(shapes)(), rng.choice(_AFTER) + rng.choice(around)[1]
+        if len(value) >= 10:
+            out += [window(left + value + right, *x) for x in _some(len(left), len(left) + len(value), 2)]
+    return out
+
+
+def _grid(windows: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(windows), np.uint8).reshape(-1, WIDTH) & 127
+
+
+def _foreign(x: np.ndarray, others: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Half of the rows get the surroundings of other runs, so that the value itself has to tell."""
+    x, swap = x.copy(), rng.random(len(x)) < 0.5
+    other = others[rng.integers(0, len(others), len(x))]
+    for part in (slice(0, SIDE), slice(SIDE + VALUE, WIDTH)):
+        x[swap, part] = other[swap, part]
+    return x
+
+
+def _learned(pos: np.ndarray, neg: np.ndarray, steps: int, seed: int) -> SecretModel:
+    """A network without calibration."""
     rng = np.random.default_rng(seed)
-    grid = lambda w: np.frombuffer(b"".join(w), np.uint8).reshape(-1, WIDTH) & 127
-    pos, neg = grid(positive), grid(negative)
-    held_p, held_n = np.arange(len(pos)) % 5 == 0, np.arange(len(neg)) % 5 == 0
-    vp, vn, pos, neg = pos[held_p], neg[held_n], pos[~held_p], neg[~held_n]
     normal = lambda *s: rng.normal(0, (2 / s[0]) ** 0.5, s)
     model = SecretModel({"embed": rng.normal(0, 0.5, (128, 8)), "conv": normal(40, 24), "conv_b": np.zeros(24), "dense": normal(72, 16), "dense_b": np.zeros(16), "out": normal(16, 1)[:, 0], "out_b": np.zeros(1)})
     m, v = ({k: np.zeros_like(a) for k, a in model.p.items()} for _ in range(2))
-
-    def foreign(x: np.ndarray) -> np.ndarray:
-        """Half of the rows get the surroundings of other runs."""
-        x, swap = x.copy(), rng.random(len(x)) < 0.5
-        other = neg[rng.integers(0, len(neg), len(x))]
-        for part in (slice(0, SIDE), slice(SIDE + VALUE, WIDTH)):
-            x[swap, part] = other[swap, part]
-        return x
-
     for t in range(1, steps + 1):
-        a, b = foreign(pos[rng.integers(0, len(pos), 32)]), neg[rng.integers(0, len(neg), 48)]
+        a, b = _foreign(pos[rng.integers(0, len(pos), 32)], neg, rng), neg[rng.integers(0, len(neg), 48)]
         y = np.append(np.ones(len(a)), np.zeros(len(b)))
         logit, kept = model.forward(np.concatenate([a, b]))
         grads = model.gradients((1 / (1 + np.exp(-np.clip(logit, -50, 50))) - y) / len(y), kept)
+        rate = 0.01 if t < 0.7 * steps else 0.003
         for k, g in grads.items():
             g = g + 1e-4 * model.p[k]
             m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
-            model.p[k] = model.p[k] - 0.01 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
-    vp = foreign(vp)
-    logit = model.forward(np.concatenate([vp, vn]))[0]
-    y = np.append(np.ones(len(vp)), np.zeros(len(vn)))
+            model.p[k] = model.p[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+    return model
+
+
+def _logits(model: SecretModel, x: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(0), *(model.forward(x[i : i + 512])[0] for i in range(0, len(x), 512))])
+
+
+def _calibrated(model: SecretModel, pos: np.ndarray, neg: np.ndarray, recall: float) -> None:
+    """Platt scaling on logits of findings and other runs that no network learned from; the highest threshold that recalls enough."""
+    logit, y = np.concatenate([pos, neg]), np.append(np.ones(len(pos)), np.zeros(len(neg)))
     # Platt's targets keep the fit finite where the classes are apart
-    target = np.where(y > 0, (len(vp) + 1) / (len(vp) + 2), 1 / (len(vn) + 2))
+    target = np.where(y > 0, (len(pos) + 1) / (len(pos) + 2), 1 / (len(neg) + 2))
     slope, shift = 1.0, 0.0
     for _ in range(500):
         d = 1 / (1 + np.exp(-np.clip(slope * logit + shift, -50, 50))) - target
         slope, shift = slope - 0.05 * (d * logit).mean() / (1 + logit.var()), shift - 0.5 * d.mean()
+    slope = max(slope, 1e-3)  # more must stay likelier
     model.scale = (float(slope), float(shift))
-    found = np.sort(model.probability([w.tobytes() for w in vp]))
+    scaled = lambda x: 1 / (1 + np.exp(-np.clip(slope * x + shift, -50, 50)))
+    found = np.sort(scaled(pos))
     model.threshold = float(found[int((1 - recall) * len(found))])
+    model.report |= {"recall": float((found >= model.threshold).mean()), "false_positives": float((scaled(neg) >= model.threshold).mean())}
+
+
+def train(positive: list[bytes], negative: list[bytes], recall: float = 0.98, steps: int = 400, seed: int = 7) -> SecretModel:
+    """Windows of findings of one kind and of other runs -> a calibrated model. Every fifth window is kept out for calibration."""
+    if min(len(positive), len(negative)) < 10:
+        return SecretModel()
+    pos, neg = _grid(positive), _grid(negative)
+    held_p, held_n = np.arange(len(pos)) % 5 == 0, np.arange(len(neg)) % 5 == 0
+    model = _learned(pos[~held_p], neg[~held_n], steps, seed)
+    kept = _foreign(pos[held_p], neg[~held_n], np.random.default_rng(seed))
+    _calibrated(model, _logits(model, kept), _logits(model, neg[held_n]), recall)
+    return model
+
+
+def train_on_kinds(kinds: dict[str, list[bytes]], negative: list[bytes], recall: float = 0.95, folds: int = 4, steps: int = 400, seed: int = 7) -> SecretModel:
+    """Windows of findings by kind, and of other runs -> a model whose threshold recalls ``recall`` of the windows of kinds left out."""
+    neg = _grid(negative)
+    held = np.arange(len(neg)) % 5 == 0
+    grids = {k: _grid(w) for k, w in kinds.items() if w}
+    unseen: dict[str, np.ndarray] = {}
+    others = []
+    for f in range(folds):
+        out = [k for i, k in enumerate(grids) if i % folds == f]
+        if out and len(out) < len(grids):
+            model = _learned(np.concatenate([g for k, g in grids.items() if k not in out]), neg[~held], steps, seed)
+            unseen |= {k: _logits(model, grids[k]) for k in out}
+            others.append(_logits(model, neg[held]))
+    model = _learned(np.concatenate(list(grids.values())), neg[~held], steps, seed)
+    _calibrated(model, np.concatenate(list(unseen.values())), np.concatenate(others), recall)
+    least = (np.log(model.threshold / (1 - model.threshold)) if model.threshold < 1 else np.inf) - model.scale[1]
+    model.report |= {f"recall of {k}": float((x * model.scale[0] >= least - 1e-9).mean()) for k, x in unseen.items()}
+    model.report["false_positives of the model"] = float((_logits(model, neg[held]) * model.scale[0] >= least).mean())
     return model
 
 
@@ -250,45 +371,51 @@ def scan(texts: pa.Array, model: SecretModel) -> tuple[list[list[tuple[int, int,
     return base, more
 
 
-def fit(docs: DataFrame, most_documents: int = 30_000, most_windows: int = 4000, recall: float = 0.98) -> SecretModel:
-    """Trains on at most ``most_windows`` findings of all documents, and on as many other runs in the
-    ``most_documents`` first documents in the order of a hash of doc_id."""
+def fit(docs: DataFrame, most_documents: int = 30_000, most_windows: int = 4000, recall: float = 0.95, per_document: int = 4) -> SecretModel:
+    """Trains on at most ``most_windows`` windows of findings of all documents and as many of other runs:
+    of ``per_document``, the least by a hash, of each of the ``most_documents`` first documents in the order of a hash
+    of doc_id; and on keys and names that are made up."""
     rows = keyed_text(docs)
-    chosen = rows.select("doc_id").dropna().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_documents).distinct()
-
-    def make(wanted: bool):
-        def run(part: pa.RecordBatch) -> dict:
-            texts, out = part.column("text"), []
-            flags = _flags(texts)
-            found = np.flatnonzero(np.logical_or.reduce(flags)).tolist()
-            spans = {i: base_spans(texts[i].as_py(), *(f[i] for f in flags)) for i in found}
-            for i, list_ in spans.items() if wanted else ():
-                text = texts[i].as_py()
-                for s, kind, e in list_:
-                    start = s if kind else _ASSIGN.match(text, s).start(2)
-                    out += [window(text, *x) for x in _some(start, e)]
-            if wanted:
-                return {"window": out}
+    chosen = rows.select("doc_id").dropna().distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_documents).select("doc_id", F.lit(True).alias("sampled"))
+    rows = rows.join(F.broadcast(chosen), "doc_id", "left").select("doc_id", "text", F.coalesce("sampled", F.lit(False)).alias("sampled"))
+
+    def run(part: pa.RecordBatch) -> dict:
+        texts, found, others = part.column("text"), [], []
+        flags = _flags(texts)
+        spans = {i: base_spans(texts[i].as_py(), *(f[i] for f in flags)) for i in np.flatnonzero(np.logical_or.reduce(flags)).tolist()}
+        for i, list_ in spans.items():
+            text = texts[i].as_py()
+            for s, kind, e in list_:
+                start = s if kind else _ASSIGN.match(text, s).start(2)
+                found += [window(text, *x) for x in _some(start, e)]
+        sampled = part.column("sampled").to_numpy(zero_copy_only=False)
+        if sampled.any():
             doc, begin, end, _, _ = runs(texts, 10)
-            step = max(1, len(doc) // 200)
-            for i, b, e in zip(doc[::step].tolist(), begin[::step].tolist(), end[::step].tolist(), strict=True):
-                text = texts[i].as_py()
-                s, e = _to_points(text, [b, e])
-                if not any(s < y and x < e for x, _, y in spans.get(i, ())):
-                    out += [window(text, *x) for x in _some(s, e)]
-            return {"window": out}
-
-        return run
-
-    def take(docs: DataFrame, wanted: bool) -> list[bytes]:
-        found = per_chunk(docs, lambda: make(wanted), "window binary", _CHUNK).distinct()
-        return [r.window for r in found.orderBy(F.xxhash64("window"), "window").limit(most_windows).collect()]
-
-    findings, others = take(rows, True), take(rows.join(F.broadcast(chosen), "doc_id", "left_semi"), False)
-    model = train(findings, others, recall)
-    if not model.p:
-        warnings.warn(f"secret scan: {len(findings)} findings and {len(others)} other runs are too few to learn from; only the patterns are used", stacklevel=2)
-    return model
+            mine = np.flatnonzero(sampled[doc])
+            cut = np.flatnonzero(np.diff(doc[mine])) + 1
+            for group in np.split(mine, cut):
+                if len(group):
+                    i = int(doc[group[0]])
+                    text = texts[i].as_py()
+                    raw = text.encode()
+                    least = sorted((xxhash.xxh3_64_intdigest(raw[b:e]), b, e) for b, e in zip(begin[group].tolist(), end[group].tolist(), strict=True))[:per_document]
+                    points = _to_points(text, [x for _, b, e in least for x in (b, e)])
+                    for s, e in zip(points[::2], points[1::2], strict=True):
+                        if not any(s < y and x < e for x, _, y in spans.get(i, ())):
+                            others += [window(text, *x) for x in _some(s, e)]
+        return {"window": found + others, "secret": [True] * len(found) + [False] * len(others)}
+
+    place = shared_dir(docs.sparkSession)
+    per_chunk(rows, lambda: run, "window binary, secret boolean", _CHUNK).distinct().write.parquet(f"{place}/windows")
+    windows = docs.sparkSession.read.parquet(f"{place}/windows")
+    take = lambda secret: [r.window for r in windows.where(F.col("secret") == secret).orderBy(F.xxhash64("window"), "window").limit(most_windows).collect()]
+    findings, others = take(True), take(False)
+    remove(place)
+    if len(others) < 10:
+        warnings.warn(f"secret scan: {len(others)} other runs are too few to learn from; only the patterns are used", stacklevel=2)
+        return SecretModel()
+    names = made_up_names(others, max(400, len(others) // 2), 5)
+    return train_on_kinds({"found": findings} | made_up_keys(others, 250, 3), others + names, recall)
 
 
 def _join(spans: list[tuple[int, str, int]]) -> str:

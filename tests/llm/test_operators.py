@@ -407,14 +407,29 @@ def test_secret_at_the_end_of_a_long_run():
         assert {c for s, e in parts for c in range(s, e)} == set(range(7, 7 + n)) and all(0 < e - s <= secret_scan.VALUE for s, e in parts)
 
 
-def test_secret_network_learns_from_findings_of_all_documents(spark):
+def test_secret_scan_adds_spans(spark):
+    """Keys of formats that nothing was trained on are found, paths and numbers aren't, and the model is the same however rows lie."""
     rng = random.Random(4)
     hexes = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
-    plain = [(i, " ".join(rng.choice(["organisation", "understanding", "nevertheless"]) + str(rng.randrange(99)) for _ in range(30))) for i in range(60)]
-    docs = spark.createDataFrame([*plain, *((i, f"key {hexes()} end") for i in range(100, 130))], "doc_id long, text string")
-    assert secret_scan.fit(docs, most_documents=20).p
+    plain = [(i, " ".join(rng.choice(["organisation", "understanding", "nevertheless", "house/garden", "twenty-one"]) + str(rng.randrange(99)) for _ in range(30))) for i in range(300)]
+    docs = spark.createDataFrame([*plain, *((i, f"key {hexes()} end") for i in range(1000, 1030)), (None, None), (7, "")], "doc_id long, text string")
+    model = secret_scan.fit(docs, most_documents=200)
+    again = secret_scan.fit(docs.repartition(7), most_documents=200)
+    assert model.threshold == again.threshold and model.report == again.report
+    assert model.report["recall"] >= 0.9 and model.report["false_positives of the model"] < 0.02 and sum(k.startswith("recall of") for k in model.report) == len(secret_scan.FORMATS) + 1
+    some = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    mixed = secret_scan._MIXED
+    planted = [f"use {v} for it" for _ in range(60) for v in ("hf_" + some(mixed, 34), "shpat_" + some("0123456789abcdef", 31), "pypi-" + some(mixed, 50), some(mixed + "+/", 60) + "==")]
+    clean = ["see /usr/local/lib/python3/site-packages/module-2 and", "organisation-12-understanding-7-garden", "on 2024-05-17-to-2024-06-18-a", "fix_house_1234_in_garden_parser", "page-22-of-300-in-volume-17x"]
+    base, more = secret_scan.scan(pa.array(planted), model)
+    assert not any(base) and sum(bool(m) and m[0][:2] == (4, len(t) - 7) for t, m in zip(planted, more, strict=True)) > 0.9 * len(planted)
+    assert sum(map(bool, secret_scan.scan(pa.array(clean), model)[1])) <= 1
+    frame = spark.createDataFrame(list(enumerate(planted[:8] + clean)), "doc_id long, text string")
+    out = got(secret_scan.secrets(frame, model))
+    assert all(out[i].spans == f"cnn:4:{len(planted[i]) - 7}" and out[i].n_added == 1 for i in range(8) if more[i])
+    assert got(secret_scan.redacted(frame, model))[0].text == "use [secret] for it"
     with pytest.warns(UserWarning, match="too few"):
-        assert not secret_scan.fit(spark.createDataFrame(plain, "doc_id long, text string")).p
+        assert not secret_scan.fit(spark.createDataFrame([(1, "a b c")], "doc_id long, text string")).p
 
 
 def test_secret_threshold_recalls_what_it_states():
