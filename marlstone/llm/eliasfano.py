@@ -25,6 +25,9 @@ def _positions() -> np.ndarray:
 _BIT = _positions()
 _EACH = _U(0x0101010101010101)  # 1 in each byte
 _TOPS = _U(0x8080808080808080)
+_LANES = _U(0x00FF00FF00FF00FF)
+_SPREAD = _U(0x0001000100010001)
+_LANE_TOPS = _U(0x8000800080008000)
 
 
 def _select_in_word(words: np.ndarray, k: np.ndarray) -> np.ndarray:
@@ -94,18 +97,34 @@ class EliasFano:
         return 8 * (self.low.nbytes + self.high.nbytes + self.ones.nbytes)
 
     def _select(self, k: np.ndarray, directory: np.ndarray, flip: int) -> np.ndarray:
+        """Where the k-th bit that isn't ``flip`` is: the block by its directory, the word by sums of eight counts in one number."""
         block = np.searchsorted(directory, k, side="right") - 1
-        left, word = k - directory[block].astype(np.int64), block * _BLOCK
-        mask = _U(0xFFFFFFFFFFFFFFFF if flip else 0)
-        going = np.ones(len(k), bool)
-        for _ in range(_BLOCK - 1):
-            count = np.bitwise_count(self.high[word] ^ mask).astype(np.int64)
-            going &= left >= count
-            if not going.any():
-                break
-            left -= np.where(going, count, 0)
-            word += going
-        return word * 64 + _select_in_word(self.high[word] ^ mask, left)
+        rows = self.high.reshape(-1, _BLOCK)[block]
+        if flip:
+            rows = ~rows
+        counts = np.bitwise_count(rows).view(_U)[:, 0]
+        left = (k - directory[block]).astype(_U)
+        even = counts & _LANES
+        sums = (even + ((counts >> _U(8)) & _LANES)) * _SPREAD  # in lanes of 16 bits: set bits up to the end of each pair of words
+        pair = np.bitwise_count(((left * _SPREAD | _LANE_TOPS) - sums) & _LANE_TOPS).astype(_U) * _U(16)  # of pairs that end before it
+        left -= ((sums << _U(16)) >> pair) & _U(0xFFFF)
+        one = (even >> pair) & _U(0xFFFF)
+        second = left >= one
+        left -= one * second
+        word = (pair >> _U(3)).astype(np.int64) + second
+        return (block * _BLOCK + word) * 64 + _select_in_word(rows[np.arange(len(k)), word], left)
+
+    def _next(self, bit: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """Where the next set bit after ``bit`` is, the ``rank``-th of all; it is most often in the same word."""
+        rest = (self.high[bit >> 6] >> (bit & 63).astype(_U)) >> _U(1)
+        out = bit + 1 + np.bitwise_count((rest & (~rest + _U(1))) - _U(1))
+        far = np.flatnonzero(rest == 0)
+        if len(far):
+            out[far] = self._select(rank[far], self.before, 0)
+        return out
+
+    def _value(self, bit: np.ndarray, i: np.ndarray) -> np.ndarray:
+        return ((bit - i).astype(_U) << _U(self.low_bits)) | self.low_part(i)
 
     def low_part(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
@@ -120,7 +139,29 @@ class EliasFano:
         i = np.asarray(i, np.int64)
         if not len(i):
             return np.zeros(0, _U)
-        return ((self._select(i, self.before, 0) - i).astype(_U) << _U(self.low_bits)) | self.low_part(i)
+        return self._value(self._select(i, self.before, 0), i)
+
+    def access_two(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The i-th values and those after them."""
+        if not len(i):
+            return np.zeros(0, _U), np.zeros(0, _U)
+        bit = self._select(i, self.before, 0)
+        return self._value(bit, i), self._value(self._next(bit, i + 1), i + 1)
+
+    def following(self, i: np.ndarray, n: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """The i-th values, and a row of the ``n`` <= ``most`` ones after each; what is beyond them is the greatest number."""
+        bit = self._select(i, self.before, 0)
+        first, out = self._value(bit, i), np.full((len(i), most), _U(0xFFFFFFFFFFFFFFFF))
+        rows = np.arange(len(i))
+        for k in range(most):
+            on = n[rows] > k
+            rows, bit = rows[on], bit[on]
+            if not len(rows):
+                break
+            at = i[rows] + k + 1
+            bit = self._next(bit, at)
+            out[rows, k] = self._value(bit, at)
+        return first, out
 
     def all(self) -> np.ndarray:
         """All values, for a whole file at once."""

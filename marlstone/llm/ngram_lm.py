@@ -28,13 +28,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import chunks, get_arrays, keyed_text, over_chunks, put_arrays, remainder, remove, shared_dir, words
+from marlstone.llm.common import chunks, get_arrays, keyed_text, over_chunks, put_arrays, remainder, remove, shared_dir, string_bytes, words
 from marlstone.llm.eliasfano import EliasFano
 
 #: No word holds white space, so this names the end of a text.
-_END = b"\n"
+_END = pa.array(["\n"])
 _STEP = 4096.0
 _TOKENS = 4 << 20  # bytes of ids that a task handles at a time
+_SHORT = 4  # successors that are read one after the other
+_SEEDS = 8
 
 
 def _quantised(log10: np.ndarray) -> np.ndarray:
@@ -69,23 +71,51 @@ class Successors:
     def find(self, context: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions (-1: not there), and where each context's range begins."""
         # each pair once, in order: neighbours in the files are then asked for one after the other
-        pairs, back = np.unique(context << 32 | value, return_inverse=True)
-        at, start = self._find(pairs >> 32, pairs & 0xFFFFFFFF)
-        return at[back], start[back]
+        n = len(context)
+        place, word = n.bit_length(), int(value.max(initial=0)).bit_length()
+        if int(context.max(initial=0)).bit_length() + word + place < 64:  # pair and place in one number sort fastest
+            packed = np.sort(context << (word + place) | value << place | np.arange(n))
+            where, pairs = packed & ((1 << place) - 1), packed >> place
+        else:
+            where = np.lexsort((value, context))
+            word, pairs = 32, (context << 32 | value)[where]
+        new = np.concatenate([[True], pairs[1:] != pairs[:-1]])[:n]
+        of, pairs = np.cumsum(new) - 1, pairs[new]
+        at, start = self._find(pairs >> word, pairs & ((1 << word) - 1))
+        out, begin = np.empty(n, np.int64), np.empty(n, np.int64)
+        out[where], begin[where] = at[of], start[of]
+        return out, begin
 
     def _find(self, context: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        distinct, of = np.unique(context, return_inverse=True)
-        begin, end = (self.pointers.access(distinct + k).astype(np.int64) for k in (0, 1))
-        base = np.zeros(len(distinct), np.uint64)
-        later = np.flatnonzero(begin > 0)
+        """``context`` and, within one, ``value`` ascend."""
+        out = np.full(len(context), -1, np.int64)
+        if not len(context):
+            return out, out
+        new = np.concatenate([[True], context[1:] != context[:-1]])
+        of = np.cumsum(new) - 1
+        begin, end = (x.astype(np.int64) for x in self.pointers.access_two(context[new]))
+        base = np.zeros(len(begin), np.uint64)
+        wanted = value.astype(np.uint64) + np.uint64(1)
+        # a short range is read from its begin on; the value before it is where the range starts from
+        size = end - begin
+        short = (size <= _SHORT) & (begin > 0)
+        few = np.flatnonzero(short & (size > 0))
+        if len(few):
+            base[few], row = self.values.following(begin[few] - 1, size[few], _SHORT)
+            number = np.zeros(len(begin), np.int64)
+            number[few] = np.arange(len(few))
+            mine = np.flatnonzero((short & (size > 0))[of])
+            hit = row[number[of[mine]]] == (wanted[mine] + base[of[mine]])[:, None]
+            found = np.flatnonzero(hit.any(1))
+            out[mine[found]] = begin[of[mine[found]]] + hit[found].argmax(1)
+        # in a long one the successor is searched
+        later = np.flatnonzero(~short & (begin > 0))
         base[later] = self.values.access(begin[later] - 1)
-        out, start = np.full(len(context), -1, np.int64), begin[of]
-        full = np.flatnonzero((end > begin)[of])
-        wanted = base[of[full]] + value[full].astype(np.uint64) + np.uint64(1)
-        at, same = self.values.lookup(wanted)
-        same &= at < end[of[full]]
-        out[full[same]] = at[same]
-        return out, start
+        mine = np.flatnonzero((~short & (size > 0))[of])
+        at, same = self.values.lookup(wanted[mine] + base[of[mine]])
+        same &= at < end[of[mine]]
+        out[mine[same]] = at[same]
+        return out, begin[of]
 
 
 @dataclass
@@ -104,21 +134,24 @@ class NgramModel:
     def unigram(self, count: np.ndarray) -> np.ndarray:
         return np.log10((count + 0.1) / (self.tokens + 0.1 * (self.vocabulary + 1)))
 
-    def hashes(self, distinct: pa.Array) -> np.ndarray:
-        return np.fromiter((xxhash.xxh3_64_intdigest(w, self.seed) for w in distinct.to_pylist()), np.uint64, len(distinct))
+    def hashes(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The 64-bit hashes of words, and others that tell words of one hash apart."""
+        both = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w, self.seed) for w in distinct.cast(pa.binary()).to_pylist()]), ">u8").reshape(-1, 2)
+        return both[:, 1].astype(np.uint64), both[:, 0].astype(np.uint64)
 
-    def end(self) -> np.ndarray:
-        return np.array([xxhash.xxh3_64_intdigest(_END, self.seed)], np.uint64)
-
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        """Ids of hashed words, -1: unknown."""
+    def ids(self, words: pa.Array) -> np.ndarray:
+        """Ids of words, -1: unknown."""
+        hashes, checks = self.hashes(words)
         out = np.full(len(hashes), -1, np.int64)
         bucket = (hashes >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(hashes), np.int64)
-        for b, first in zip(self.buckets, self.first, strict=True):
-            mine = np.flatnonzero(bucket == b)
-            if len(mine):
-                at = EliasFano.load(_file(f"{self.place}/1-{b}"), "hashes").find(hashes[mine])
-                out[mine] = np.where(at >= 0, at + first, -1)
+        place = np.full(1 << self.bits, -1)
+        place[self.buckets] = np.arange(len(self.buckets))
+        for k, mine in _each(place[bucket]):
+            file = _file(f"{self.place}/1-{self.buckets[k]}")
+            at = EliasFano.load(file, "hashes").find(hashes[mine])
+            same = np.flatnonzero(at >= 0)
+            same = same[file["check"][at[same]] == (checks[mine[same]] >> np.uint64(32)).astype(np.uint32)]
+            out[mine[same]] = at[same] + self.first[k]
         return out
 
     def counts(self, ids: np.ndarray) -> np.ndarray:
@@ -184,22 +217,25 @@ def _successors(place: str, level: int, shard: int) -> Successors:
 def _vocabulary(train: DataFrame, place: str) -> NgramModel:
     """Counts all words of the training part and writes level 1."""
     spark = train.sparkSession
-    for seed in range(8):
+    for seed in range(_SEEDS):
         model = NgramModel(place, seed)
 
         def run(parts: Iterator[pa.RecordBatch], model: NgramModel = model) -> Iterator[dict]:
             for part in parts:
                 distinct, code, counts = words(part.column("text"), lower=True)
-                check = np.fromiter((xxhash.xxh32_intdigest(w, 1) for w in distinct.to_pylist()), np.int64, len(distinct))
-                yield {"hash": np.append(model.hashes(distinct), model.end()).view(np.int64), "check": np.append(check, -1), "n": np.append(np.bincount(code, minlength=len(distinct)), len(counts))}
+                hashes, checks = model.hashes(pa.concat_arrays([distinct, _END]))
+                yield {"hash": hashes.view(np.int64), "check": checks.view(np.int64), "n": np.append(np.bincount(code, minlength=len(distinct)), len(counts))}
 
         rows = over_chunks(train, run, "hash long, check long, n long")
         counted = rows.groupBy("hash").agg(F.sum("n").alias("n"), F.min("check").alias("c"), F.max("check").alias("d"))
         counted.write.parquet(f"{place}/words{seed}")
         counted = spark.read.parquet(f"{place}/words{seed}")
         total = counted.agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n"), F.count_if(F.col("c") != F.col("d")).alias("clash")).first()
-        if not total.clash:  # else two words share a hash: another seed
+        if not total.clash:
             break
+        remove(f"{place}/words{seed}")  # two words share a hash: another seed
+    else:
+        raise RuntimeError(f"with each of {_SEEDS} seeds two words of the training part share a 64-bit hash")
     model.vocabulary, model.tokens = total.v, total.n or 0
     model.bits = bits = max(0, (total.v // 400_000).bit_length())
     bucket = F.shiftrightunsigned("hash", 64 - bits) if bits else F.lit(0).cast("long")
@@ -208,17 +244,17 @@ def _vocabulary(train: DataFrame, place: str) -> NgramModel:
         held = [p for p in parts if p.num_rows]
         if not held:
             return
-        hashes, n, where = (np.concatenate([p.column(c).to_numpy() for p in held]) for c in ("hash", "n", "bucket"))
+        hashes, n, where, checks = (np.concatenate([p.column(c).to_numpy() for p in held]) for c in ("hash", "n", "bucket", "c"))
         order = np.argsort(hashes.view(np.uint64))
-        hashes, n, where = hashes.view(np.uint64)[order], n[order], where[order]
+        hashes, n, where, checks = hashes.view(np.uint64)[order], n[order], where[order], (checks.view(np.uint64)[order] >> np.uint64(32)).astype(np.uint32)
         for b in np.unique(where).tolist():
             mine = where == b
-            put_arrays(f"{place}/1-{b}", count=n[mine], **EliasFano.of(hashes[mine]).arrays("hashes"))
+            put_arrays(f"{place}/1-{b}", count=n[mine], check=checks[mine], **EliasFano.of(hashes[mine]).arrays("hashes"))
             for piece in np.array_split(n[mine], min(256, int(mine.sum()))):
                 yield {"bucket": [b], "words": [len(piece)], "tokens": [int(piece.sum())]}
 
     # rows at the driver: at most 256 for 400,000 words
-    pieces = over_chunks(counted.select("hash", "n", bucket.alias("bucket")).repartition("bucket"), write, "bucket long, words long, tokens long", limit=0).collect()
+    pieces = over_chunks(counted.select("hash", "n", "c", bucket.alias("bucket")).repartition("bucket"), write, "bucket long, words long, tokens long", limit=0).collect()
     remove(f"{place}/words{model.seed}")
     ids, size = 0, 0
     parts = max(1, model.tokens // 2_000_000)
@@ -238,19 +274,18 @@ def _encoded(docs: DataFrame, model: NgramModel) -> DataFrame:
     """Every text as ids (-1: unknown) with its end, and its base score."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        end = model.ids(model.end())
         for part in parts:
             distinct, code, n = words(part.column("text"), lower=True)
-            known = np.append(model.ids(model.hashes(distinct)), end)
+            known = model.ids(pa.concat_arrays([distinct, _END]))
             score = model.unigram(model.counts(known))
-            stream = known[np.insert(code, np.cumsum(n), len(known) - 1)].astype("<i4" if model.vocabulary < 2**31 - 2 else "<i8")
             at = np.insert(code, np.cumsum(n), len(known) - 1)
+            stream = known.astype("<i4" if model.vocabulary < 2**31 - 2 else "<i8")[at]
             n = n + 1
             ends = np.cumsum(n)
-            data, width = stream.tobytes(), stream.itemsize
+            data = np.concatenate([[0], ends]) * stream.itemsize
             yield {
-                "doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "n_tokens": n, "n_known": np.add.reduceat(known[at] >= 0, ends - n, dtype=np.int64),
-                "base_score": np.add.reduceat(score[at], ends - n), "ids": [data[b * width : e * width] for b, e in zip((ends - n).tolist(), ends.tolist(), strict=True)],
+                "doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "n_tokens": n, "n_known": np.add.reduceat(stream >= 0, ends - n, dtype=np.int64),
+                "base_score": np.add.reduceat(score[at], ends - n), "ids": pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(data), pa.py_buffer(stream)]).cast(pa.binary()),
             }
 
     return over_chunks(docs, run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, ids binary")
@@ -259,7 +294,7 @@ def _encoded(docs: DataFrame, model: NgramModel) -> DataFrame:
 def _streams(batches: Iterator[pa.RecordBatch], model: NgramModel) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
     """Chunks of texts as ids: all ids, for each the one before (the start's id at a text's begin), and where texts begin."""
     for part in chunks(batches, _TOKENS, "ids"):
-        ids = np.frombuffer(b"".join(part.column("ids").to_pylist()), "<i4" if model.vocabulary < 2**31 - 2 else "<i8").astype(np.int64)
+        ids = string_bytes(part.column("ids"))[0].view("<i4" if model.vocabulary < 2**31 - 2 else "<i8").astype(np.int64)
         n = part.column("n_tokens").to_numpy()
         begin = np.cumsum(n) - n
         before = np.concatenate([[0], ids[:-1]])
@@ -278,21 +313,14 @@ def _counted(rows: DataFrame, model: NgramModel, level: int) -> DataFrame:
     """Counted n-grams of the training part in blobs: shard, ascending keys, counts. A key is context << 32 | word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         size = 0
 
         def flush() -> dict:
             nonlocal held, size
-            shard, key, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            held, size = [], 0
-            order = np.lexsort((key, shard))
-            shard, key, n = shard[order], key[order], n[order]
-            new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (shard[1:] != shard[:-1])]))
-            shard, key, n = shard[new], key[new], np.add.reduceat(n, new)
-            cut = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])).tolist()
-            spans = list(zip(cut, [*cut[1:], len(key)], strict=True))
-            packed = [_packed(key[b:e], n[b:e]) for b, e in spans]
-            return {"shard": [int(shard[b]) for b, _ in spans], "keys": [k for k, _ in packed], "counts": [c for _, c in packed]}
+            packed = [(s, *_packed(*_all_merged(held.pop(s)))) for s in sorted(held)]
+            size = 0
+            return {"shard": [s for s, _, _ in packed], "keys": [k for _, k, _ in packed], "counts": [c for _, _, c in packed]}
 
         for _, ids, before, begin in _streams(batches, model):
             if level == 2:
@@ -302,17 +330,15 @@ def _counted(rows: DataFrame, model: NgramModel, level: int) -> DataFrame:
                 node, first = _second(begin, nodes, before)
                 both = np.flatnonzero((node >= 0) & (nodes >= 0))
                 shard, key = model.shard(first[both]), node[both] << 32 | place[both]
-            if level == 2:  # the first word within its shard
-                key = (before - np.array(model.shards)[shard]) << 32 | ids
-            order = np.lexsort((key, shard))
-            shard, key = shard[order], key[order]
-            if len(key):
-                new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (shard[1:] != shard[:-1])]))
-                held.append((shard[new], key[new], np.diff(np.append(new, len(key)))))
+            for s, mine in _each(shard):
+                sorted_ = np.sort(key[mine])
+                new = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+                # the first word of a pair within its shard
+                held.setdefault(s, []).append((sorted_[new] - ((model.shards[s] << 32) if level == 2 else 0), np.diff(np.append(new, len(sorted_)))))
                 size += len(new)
             if size >= 3_000_000:
                 yield flush()
-        if held:
+        if size:
             yield flush()
 
     return over_chunks(rows.where("not held_out").select("ids", "n_tokens"), run, "shard int, keys binary, counts binary", limit=0)
@@ -326,6 +352,10 @@ def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return key[new], np.add.reduceat(n, new)
 
 
+def _all_merged(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return runs[0] if len(runs) == 1 else _merged(*(tuple(np.concatenate(x) for x in zip(*runs, strict=True)), (np.zeros(0, np.int64), np.zeros(0, np.int64))))
+
+
 def _joined(blobs: DataFrame, work) -> DataFrame:
     """Calls ``work`` with each shard's distinct keys and counts."""
 
@@ -434,22 +464,24 @@ def fit(docs: DataFrame, folds: int = 10, place: str | None = None) -> tuple[Ngr
 
 def token_scores(model: NgramModel, ids: np.ndarray, before: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """log10 probability of every id after the two before it."""
-    score = model.unigram(model.counts(ids))
     nodes, place = model.pairs(before, ids)
     node, first = _second(begin, nodes, before)
-    shard = np.where(before >= 0, model.shard(np.maximum(before, 0)), -1)
-    for s, mine in _each(shard):
+    score, open_ = np.zeros(len(ids)), np.ones(len(ids), bool)
+    # the longest context that has the word decides; on the way there, what it leaves to shorter ones
+    for s, mine in _each(np.where(node >= 0, model.shard(np.maximum(first, 0)), -1)):
+        three = model.level(3, s)
+        at = np.full(len(mine), -1, np.int64)
+        pair = np.flatnonzero(nodes[mine] >= 0)
+        at[pair], _ = _successors(model.place, 3, s).find(node[mine[pair]], place[mine[pair]])
+        score[mine] = _value(np.where(at >= 0, three["p"][at] if len(three["p"]) else 0, three["rest"][node[mine]]))
+        open_[mine[at >= 0]] = False
+    for s, mine in _each(np.where(open_ & (before >= 0), model.shard(np.maximum(before, 0)), -1)):
         two = model.level(2, s)
         seen = nodes[mine] >= 0
+        score[mine[seen]] += _value(two["p"][nodes[mine[seen]]])
         score[mine[~seen]] += _value(two["rest"][before[mine[~seen]] - model.shards[s]])
-        score[mine[seen]] = _value(two["p"][nodes[mine[seen]]])
-    shard = np.where(node >= 0, model.shard(np.maximum(first, 0)), -1)
-    for s, mine in _each(shard):
-        three = model.level(3, s)
-        score[mine] += _value(three["rest"][node[mine]])
-        pair = mine[nodes[mine] >= 0]
-        at, _ = _successors(model.place, 3, s).find(node[pair], place[pair])
-        score[pair[at >= 0]] = _value(three["p"][at[at >= 0]])
+    rest = np.flatnonzero(open_ & (nodes < 0))
+    score[rest] += model.unigram(model.counts(ids[rest]))
     return score
 
 

@@ -62,6 +62,12 @@ def test_elias_fano():
         e = EliasFano.load(EliasFano.of(v).arrays("x"), "x")
         q = np.concatenate([v, rng.integers(0, top + 10, 200).astype(np.uint64)])
         assert (e.access(np.arange(n)) == v).all() and (e.all() == v).all() and (e.successor(q) == np.searchsorted(v, q)).all()
+        if n > 10:
+            i = rng.integers(0, n - 1, 300)
+            size = np.minimum(rng.integers(0, 4, 300), n - 1 - i)
+            assert all((x == v[i + k]).all() for k, x in enumerate(e.access_two(i)))
+            first, rows = e.following(i, size, 4)
+            assert (first == v[i]).all() and all(rows[j, : size[j]].tolist() == v[i[j] + 1 : i[j] + 1 + size[j]].tolist() and (rows[j, size[j] :] == 2**64 - 1).all() for j in range(300))
         if n == 5000:
             assert e.bits < 64 * n * 0.7
 
@@ -478,6 +484,23 @@ def test_language_model(docs, rows, empty):
     assert again.tokens == 0 and ngram_lm.score(again, none).count() == 0
 
 
+def test_successors_in_short_and_long_ranges():
+    rng = np.random.default_rng(5)
+    pairs = np.unique(np.concatenate([rng.integers(0, 40, 3000) << 32 | rng.integers(0, 200, 3000), rng.integers(50, 3000, 3000) << 32 | rng.integers(0, 2**31, 3000)]))
+    context, value = pairs >> 32, pairs & 0xFFFFFFFF
+    files = ngram_lm.Successors(ngram_lm.Successors.arrays("x", 3001, context, value), "x")
+    begin = np.searchsorted(context, np.arange(3002))
+    asked = rng.integers(0, 3000, 8000)
+    words_ = np.where(rng.random(8000) < 0.5, rng.integers(0, 250, 8000), value[rng.integers(0, len(value), 8000)])
+    asked, words_ = np.concatenate([asked, context]), np.concatenate([words_, value])
+    expected = {(c, w): i for i, (c, w) in enumerate(zip(context.tolist(), value.tolist(), strict=True))}
+    for factor in (1, 2**20):  # with too large a value, a pair and its place don't go into one number
+        at, start = files.find(asked, np.where(np.arange(len(words_)) % 7 == 0, words_ * factor, words_))
+        want = [expected.get((c, w * (factor if k % 7 == 0 else 1)), -1) for k, (c, w) in enumerate(zip(asked.tolist(), words_.tolist(), strict=True))]
+        assert at.tolist() == want and (start == begin[asked]).all()
+        words_ = words_ % (1 << 12)
+
+
 def test_language_model_holds_every_ngram(docs, rows):
     model, encoded = ngram_lm.fit(docs)
     words = {i: ["", *WORD.findall((t or "").translate(LOW)), "\n"] for i, t in rows}
