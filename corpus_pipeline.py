@@ -22,7 +22,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of similar five-word shingle sets connect, the one with the smallest doc_id stays."""
+    """Of documents that links of similar five-word shingle sets connect, one with the smallest doc_id stays."""
     return jaccard.one_of_each(docs, shingle=5, percent=80)
 
 
@@ -44,7 +44,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("best_fit_packing", pack),
 ]
 
-#: The toxicity model, the Jaccard join and the tokenizer have no SQL form; tests run each stage against brute force.
+#: The toxicity model, the Jaccard join and the tokenizer have no SQL form; tests run each stage and run() against brute force.
 ORACLE_SQL = None
 
 

@@ -23,6 +23,7 @@ not read; a very long text is cut into slices for the search that overlap by a w
 from __future__ import annotations
 
 import hashlib
+import uuid
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import get_arrays, keyed_text, mix, over_chunks, partitions, put_arrays, ranges, remove, shared_dir, string_bytes
+from marlstone.llm.common import filesystem, get_arrays, keyed_text, mix, over_chunks, partitions, put, put_arrays, ranges, remove, shared_dir, string_bytes, task_number
 
 _B = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _SLICE = 2 << 20
@@ -126,13 +127,13 @@ class SortedFiles:
     @staticmethod
     def write(rows: DataFrame, place: str, columns: list[str], data: str | None = None, each: int = 500_000) -> SortedFiles:
         """``rows``: key, ``columns`` of small integers, and ``data``, a column of bytes. A file has about ``each`` rows."""
-        rows.write.parquet(f"{place}/rows")
+        rows.write.option("parquet.block.size", 8 << 20).parquet(f"{place}/rows")
         rows = rows.sparkSession.read.parquet(f"{place}/rows")
         bits = max(0, (rows.count() // each).bit_length())
         bucket = F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0).cast("long")
 
         def run(parts: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-            def put(b: int, held: list[pa.RecordBatch]) -> None:
+            def file(b: int, held: list[pa.RecordBatch]) -> None:
                 key, *rest = (np.concatenate([p.column(c).to_numpy() for p in held]) for c in ("key", *columns))
                 order = np.argsort(key.view(np.uint64), kind="stable")
                 more = {}
@@ -148,13 +149,13 @@ class SortedFiles:
                 for begin, end in zip([0, *cut.tolist()], [*cut.tolist(), len(where)], strict=True):
                     if begin < end:
                         if held and where[begin] != now:
-                            put(now, held)
+                            file(now, held)
                             yield {"bucket": [now]}
                             held = []
                         now = int(where[begin])
                         held.append(part.slice(begin, end - begin))
             if held:
-                put(now, held)
+                file(now, held)
                 yield {"bucket": [now]}
 
         over_chunks(rows.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket"), run, "bucket long", limit=0).count()
@@ -321,16 +322,26 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
     return rows.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
 
 
-def _runs(docs: DataFrame, repeated: SortedFiles, hot: SortedFiles | None, buckets: int, length: int, held_bytes: int = 24 << 20) -> DataFrame:
+def _runs(docs: DataFrame, repeated: SortedFiles, hot: SortedFiles | None, buckets: int, length: int, place: str, held_bytes: int = 24 << 20) -> DataFrame:
+    """Writes the runs of all ranges that a task has at a time to one file; a row says where a range's run lies."""
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         held: list[dict[tuple[bytes, bytes], int]] = [{} for _ in range(buckets)]
         size = 0
 
         def flush() -> dict:
             nonlocal held, size
-            out = [(b, front_coded(sorted((s, p, n) for (s, p), n in h.items()))) for b, h in enumerate(held) if h]
-            held, size = [{} for _ in range(buckets)], 0
-            return {"bucket": [b for b, _ in out], "run": [r for _, r in out]}
+            uri, out, packed, at = f"{place}/{task_number():07d}-{uuid.uuid4().hex}.runs", [], [], 0
+            for b in range(buckets):
+                if held[b]:
+                    run = front_coded(sorted((s, p, n) for (s, p), n in held[b].items()))
+                    held[b] = {}
+                    packed.append(pa.compress(run, "zstd", asbytes=True))
+                    out.append((b, at, len(packed[-1]), len(run)))
+                    at += len(packed[-1])
+            size = 0
+            put(uri, lambda f: [f.write(x) for x in packed])
+            return {"uri": [uri] * len(out)} | dict(zip(("bucket", "at", "packed", "size"), map(list, zip(*out, strict=True)), strict=True))
 
         for part in parts:
             for raw, starts, _ in _slices(part, length):
@@ -353,7 +364,13 @@ def _runs(docs: DataFrame, repeated: SortedFiles, hot: SortedFiles | None, bucke
         if size:
             yield flush()
 
-    return over_chunks(docs, run, "bucket int, run binary", _SLICE)
+    return over_chunks(docs, run, "bucket int, uri string, at long, packed long, size long", _SLICE)
+
+
+def _read_run(uri: str, at: int, packed: int, size: int) -> bytes:
+    store, path = filesystem(uri)
+    with store.open_input_file(path) as f:
+        return pa.decompress(f.read_at(packed, at), size, "zstd", asbytes=True)
 
 
 def _found(runs: DataFrame, length: int) -> DataFrame:
@@ -398,16 +415,17 @@ def _found(runs: DataFrame, length: int) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         bucket, held = None, []
         for part in parts:
-            for b, r in zip(part.column("bucket").to_pylist(), part.column("run").to_pylist(), strict=True):
+            for b, *where in zip(*(part.column(c).to_pylist() for c in ("bucket", "uri", "at", "packed", "size")), strict=True):
                 if b != bucket and held:
-                    yield from of_bucket(held)
+                    yield from of_bucket([_read_run(*w) for w in held])
                     held = []
                 bucket = b
-                held.append(r)
+                held.append(where)
         if held:
-            yield from of_bucket(held)
+            yield from of_bucket([_read_run(*w) for w in held])
 
-    return over_chunks(runs.repartition("bucket").sortWithinPartitions("bucket"), run, "key long, low int, high int, before int, bytes binary", limit=0)
+    # a row is little, the run that it names is not: a stated number of partitions isn't merged by bytes
+    return over_chunks(runs.repartition(partitions(runs.sparkSession), "bucket").sortWithinPartitions("bucket"), run, "key long, low int, high int, before int, bytes binary", limit=0)
 
 
 def _by_suffix(group: list[tuple[int, Entry]]) -> list[tuple[int, Entry]]:
@@ -463,7 +481,9 @@ def repeated_bytes(docs: DataFrame, length: int = 200, often: int = 200_000, ran
     repeated = SortedFiles.write(counts.select("key"), f"{place}/anchors", [])
     hot = SortedFiles.write(counts.where(F.col("n") > often).select("key"), f"{place}/hot", []) if (total.most or 0) > often else None
     buckets = max(partitions(spark), (total.n or 0) * 2 * length // range_bytes)
-    found = SortedFiles.write(_found(_runs(docs, repeated, hot, buckets, length), length), f"{place}/found", ["low", "high", "before"], "bytes", 200_000)
+    _runs(docs, repeated, hot, buckets, length, f"{place}/runs").write.parquet(f"{place}/list")
+    found = SortedFiles.write(_found(spark.read.parquet(f"{place}/list"), length), f"{place}/found", ["low", "high", "before"], "bytes", 100_000)
+    remove(f"{place}/runs")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for part in parts:
