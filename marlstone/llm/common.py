@@ -11,6 +11,7 @@ import io
 import os
 import tempfile
 import uuid
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -92,6 +93,35 @@ def get_arrays(uri: str) -> dict[str, np.ndarray]:
     return {name: raw[8 + n + at : 8 + n + at + np.dtype(kind).itemsize * size].view(kind) for name, kind, size, at in ast.literal_eval(raw[8 : 8 + n].tobytes().decode())}
 
 
+_cached: OrderedDict[tuple[str, object], tuple[object, int]] = OrderedDict()
+
+
+def cached(uri: str, build: Callable[[dict[str, np.ndarray]], object] = dict, most: int = 256 << 20) -> object:
+    """What ``build`` makes of a file's arrays, kept for later calls in this worker.
+
+    Mapped files cost no memory of the worker's; of files that had to be read, because the shared
+    folder isn't mounted, the ones used last stay, up to ``most`` bytes.
+    """
+    if (uri, build) in _cached:
+        _cached.move_to_end((uri, build))
+        return _cached[uri, build][0]
+    arrays = get_arrays(uri)
+    size = 0 if isinstance(filesystem(uri)[0], fs.LocalFileSystem) else sum(a.nbytes for a in arrays.values())
+    _cached[uri, build] = build(arrays), size
+    total = sum(n for _, n in _cached.values()) if size else 0
+    for key in list(_cached)[:-1]:
+        if total <= most and len(_cached) <= 8192:
+            break
+        total -= _cached.pop(key)[1]
+    return _cached[uri, build][0]
+
+
+def forget(prefix: str) -> None:
+    """Lets the files go whose names begin so."""
+    for key in [k for k in _cached if k[0].startswith(prefix)]:
+        del _cached[key]
+
+
 def partitions(spark: SparkSession) -> int:
     """The number of partitions for steps whose work isn't told by their bytes."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

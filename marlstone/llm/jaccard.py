@@ -19,7 +19,6 @@ columns other than doc_id and text are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import combinations
 from math import comb
 
@@ -30,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import get_arrays, keep_one, keyed_text, mix, over_chunks, partitions, put_arrays, ranges, shared_dir, task_number, words
+from marlstone.llm.common import cached, forget, get_arrays, keep_one, keyed_text, mix, over_chunks, partitions, put_arrays, ranges, shared_dir, task_number, words
 from marlstone.llm.components import components
 
 _FILE_BITS, _INDEX_BITS = 12, 25
@@ -150,24 +149,19 @@ def _sets(docs: DataFrame, size: int, place: str) -> DataFrame:
     return over_chunks(keyed_text(docs).withColumn("digest", text_digest()), run, ROWS)
 
 
-@lru_cache(maxsize=4096)
-def _file(place: str, number: int) -> dict[str, np.ndarray]:
-    return get_arrays(f"{place}/{number}.sets")
-
-
 def load(place: str, entry: int) -> np.ndarray:
-    f, i = _file(place, entry >> _INDEX_BITS), entry & (1 << _INDEX_BITS) - 1
+    f, i = cached(f"{place}/{entry >> _INDEX_BITS}.sets"), entry & (1 << _INDEX_BITS) - 1
     return f["values"][f["ends"][i] : f["ends"][i + 1]]
 
 
-def _unmapped(run):
+def _unmapped(run, place: str):
     """The same work of a task; the files that it mapped are let go at its end."""
 
     def task(parts: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         try:
             yield from run(parts)
         finally:
-            _file.cache_clear()
+            forget(place)
 
     return task
 
@@ -186,7 +180,7 @@ def _common(classes: DataFrame, place: str, most: int, local: int = 3, per_batch
                 top = top[np.argsort(-c[top], kind="stable")[:per_batch]]
                 yield {"element": v[top].view(np.int64), "c": c[top]}
 
-    counted = over_chunks(classes, _unmapped(run), "element long, c long", limit=0).groupBy("element").agg(F.sum("c").alias("c"))
+    counted = over_chunks(classes, _unmapped(run, place), "element long, c long", limit=0).groupBy("element").agg(F.sum("c").alias("c"))
     return np.array([r.element for r in counted.orderBy(F.desc("c"), "element").limit(most).collect()][::-1], np.int64).view(np.uint64)
 
 
@@ -219,7 +213,7 @@ def _postings(classes: DataFrame, place: str, common: np.ndarray, light: int, pe
                 sizes += [n] * made
             yield {"key": np.concatenate(keys).view(np.int64), "entry": sets, "n": sizes}
 
-    return over_chunks(classes, _unmapped(run), "key long, entry long, n int", limit=0)
+    return over_chunks(classes, _unmapped(run, place), "key long, entry long, n int", limit=0)
 
 
 def _lists(postings: DataFrame, percent: int, block: int) -> DataFrame:
@@ -346,7 +340,7 @@ def _edges(lists: DataFrame, place: str, percent: int) -> DataFrame:
                 done += [(members[i], members[j]) for i, j in links([load(place, e) for e in members], percent)]
             yield {"a": [x for x, _ in done], "b": [x for _, x in done]}
 
-    return over_chunks(lists, _unmapped(run), "a long, b long", limit=0)
+    return over_chunks(lists, _unmapped(run, place), "a long, b long", limit=0)
 
 
 def _far_edges(blocks: DataFrame, found: DataFrame, place: str, lists: str, percent: int, block: int, asked: int = 64) -> DataFrame:
@@ -391,7 +385,7 @@ def _far_edges(blocks: DataFrame, found: DataFrame, place: str, lists: str, perc
                         others, sets, size = [], [], 0
             yield {"a": [x for x, _ in done], "b": [x for _, x in done]}
 
-    return over_chunks(units.repartition(partitions(units.sparkSession), "name", "slot"), _unmapped(run), "a long, b long", limit=0)
+    return over_chunks(units.repartition(partitions(units.sparkSession), "name", "slot"), _unmapped(run, place), "a long, b long", limit=0)
 
 
 def _grouped(docs: DataFrame, shingle: int, percent: int, common: int, block: int, place: str) -> DataFrame:

@@ -20,7 +20,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import chunks, get_arrays, keyed_text, over_chunks, put_arrays, remainder, remove, shared_dir, string_bytes, words
+from marlstone.llm.common import cached, chunks, get_arrays, keyed_text, over_chunks, put_arrays, remainder, remove, shared_dir, string_bytes, words
 from marlstone.llm.eliasfano import EliasFano
 
 #: No word holds white space, so this names the end of a text.
@@ -147,8 +146,8 @@ class NgramModel:
         place = np.full(1 << self.bits, -1)
         place[self.buckets] = np.arange(len(self.buckets))
         for k, mine in _each(place[bucket]):
-            file = _file(f"{self.place}/1-{self.buckets[k]}")
-            at = EliasFano.load(file, "hashes").find(hashes[mine])
+            uri = f"{self.place}/1-{self.buckets[k]}"
+            file, at = cached(uri), cached(uri, _hashes).find(hashes[mine])
             same = np.flatnonzero(at >= 0)
             same = same[file["check"][at[same]] == (checks[mine[same]] >> np.uint64(32)).astype(np.uint32)]
             out[mine[same]] = at[same] + self.first[k]
@@ -159,14 +158,14 @@ class NgramModel:
         file = np.searchsorted(self.first, ids, side="right") - 1
         for k in np.unique(file[ids >= 0]).tolist():
             mine = np.flatnonzero((file == k) & (ids >= 0))
-            out[mine] = _file(f"{self.place}/1-{self.buckets[k]}")["count"][ids[mine] - self.first[k]]
+            out[mine] = cached(f"{self.place}/1-{self.buckets[k]}")["count"][ids[mine] - self.first[k]]
         return out
 
     def shard(self, ids: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.shards, ids, side="right") - 1
 
     def level(self, level: int, shard: int) -> dict[str, np.ndarray]:
-        return _file(f"{self.place}/{level}-{shard}")
+        return cached(f"{self.place}/{level}-{shard}")
 
     def pairs(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Node of each pair in its shard's level 2 (-1: none), and its place among the first word's successors."""
@@ -204,14 +203,16 @@ def _each(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
                 yield int(there[b]), order[b:e]
 
 
-@lru_cache(maxsize=4096)
-def _file(uri: str) -> dict[str, np.ndarray]:
-    return get_arrays(uri)
+def _next(arrays: dict[str, np.ndarray]) -> Successors:
+    return Successors(arrays, "next")
+
+
+def _hashes(arrays: dict[str, np.ndarray]) -> EliasFano:
+    return EliasFano.load(arrays, "hashes")
 
 
-@lru_cache(maxsize=4096)
 def _successors(place: str, level: int, shard: int) -> Successors:
-    return Successors(_file(f"{place}/{level}-{shard}"), "next")
+    return cached(f"{place}/{level}-{shard}", _next)
 
 
 def _vocabulary(train: DataFrame, place: str) -> NgramModel:

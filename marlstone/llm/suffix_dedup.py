@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import filesystem, get_arrays, keyed_text, mix, over_chunks, partitions, put, put_arrays, ranges, remove, shared_dir, string_bytes, task_number
+from marlstone.llm.common import cached, filesystem, keyed_text, mix, over_chunks, partitions, put, put_arrays, ranges, remove, shared_dir, string_bytes, task_number
 
 _B = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _SLICE = 2 << 20
@@ -174,10 +174,9 @@ class SortedFiles:
                 yield rows[hit], at[hit], file
 
 
-@lru_cache(maxsize=4096)
 def _open(place: str, bucket: int) -> dict[str, np.ndarray] | None:
     try:
-        return get_arrays(f"{place}/{bucket}.sorted")
+        return cached(f"{place}/{bucket}.sorted")
     except FileNotFoundError:  # no key has these upper bits
         return None
 
