@@ -1,7 +1,7 @@
 """A trigram language model as an Elias-Fano trie in memory-mapped files.
 
 Level 1 holds the words' 64-bit hashes, ascending; a word's id is its place. Level 2 holds, for
-ranges of first words, where each word's successors begin (monotone pointers) and the successors'
+ranges of pairs (several where one first word has many), where each word's successors begin (monotone pointers) and the successors'
 ids, made monotone by adding what the word before ended with. Level 3 does the same for pairs; there
 a third word is not its id but its place among the successors of the second, which is small: a
 context-relative id, found by successor search in the ranges of the shorter context. Probabilities
@@ -128,7 +128,10 @@ class NgramModel:
     bits: int = 0
     buckets: list[int] = field(default_factory=list)  # upper bits of the hashes that have a file
     first: list[int] = field(default_factory=list)  # the first id of each
-    shards: list[int] = field(default_factory=lambda: [0, 1])  # ranges of ids of first words; the id after all is a text's start
+    # ranges of pairs of words: where each begins. A text's start is the id after all. A word that begins many pairs has several ranges.
+    first_of: list[int] = field(default_factory=lambda: [0])
+    second_of: list[int] = field(default_factory=lambda: [0])
+    earlier: list[int] = field(default_factory=lambda: [0])  # successors of its first word that lie in ranges before
 
     def unigram(self, count: np.ndarray) -> np.ndarray:
         return np.log10((count + 0.1) / (self.tokens + 0.1 * (self.vocabulary + 1)))
@@ -161,19 +164,34 @@ class NgramModel:
             out[mine] = cached(f"{self.place}/1-{self.buckets[k]}")["count"][ids[mine] - self.first[k]]
         return out
 
-    def shard(self, ids: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.shards, ids, side="right") - 1
+    def shard(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """The range of each pair, -1 where the first word is unknown; any that has the first word where the second is unknown."""
+        begin = np.array(self.first_of) << 32 | np.array(self.second_of)
+        return np.where(first >= 0, np.searchsorted(begin, np.maximum(first, 0) << 32 | np.maximum(second, 0), side="right") - 1, -1)
+
+    def shard_of_place(self, first: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The range that holds the successor at a place among all of a word's, and its place there."""
+        begin = np.array(self.first_of) << 32 | np.array(self.earlier)
+        shard = np.searchsorted(begin, first << 32 | place, side="right") - 1
+        return shard, place - np.where(np.array(self.first_of)[shard] == first, np.array(self.earlier)[shard], 0)
+
+    def width(self, shard: int) -> int:
+        """First words of a range."""
+        if shard + 1 == len(self.first_of):
+            return self.vocabulary + 1 - self.first_of[shard]
+        return self.first_of[shard + 1] - self.first_of[shard] + (self.second_of[shard + 1] > 0)
 
     def level(self, level: int, shard: int) -> dict[str, np.ndarray]:
         return cached(f"{self.place}/{level}-{shard}")
 
     def pairs(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Node of each pair in its shard's level 2 (-1: none), and its place among the first word's successors."""
+        """Node of each pair in its range's level 2 (-1: none), and its place among the first word's successors."""
         node, place = np.full(len(first), -1, np.int64), np.zeros(len(first), np.int64)
-        shard = np.where((first >= 0) & (second >= 0), self.shard(first), -1)
-        for s, mine in _each(shard):
-            at, begin = _successors(self.place, 2, s).find(first[mine] - self.shards[s], second[mine])
+        for s, mine in _each(np.where(second >= 0, self.shard(first, second), -1)):
+            at, begin = _successors(self.place, 2, s).find(first[mine] - self.first_of[s], second[mine])
             node[mine], place[mine] = at, at - begin
+            if self.earlier[s]:
+                place[mine] += np.where(first[mine] == self.first_of[s], self.earlier[s], 0)
         return node, place
 
 
@@ -215,8 +233,8 @@ def _successors(place: str, level: int, shard: int) -> Successors:
     return cached(f"{place}/{level}-{shard}", _next)
 
 
-def _vocabulary(train: DataFrame, place: str) -> NgramModel:
-    """Counts all words of the training part and writes level 1."""
+def _vocabulary(train: DataFrame, place: str, range_tokens: int) -> NgramModel:
+    """Counts all words of the training part and writes level 1; deals pairs of words out to ranges of about ``range_tokens`` tokens."""
     spark = train.sparkSession
     for seed in range(_SEEDS):
         model = NgramModel(place, seed)
@@ -240,6 +258,7 @@ def _vocabulary(train: DataFrame, place: str) -> NgramModel:
     model.vocabulary, model.tokens = total.v, total.n or 0
     model.bits = bits = max(0, (total.v // 400_000).bit_length())
     bucket = F.shiftrightunsigned("hash", 64 - bits) if bits else F.lit(0).cast("long")
+    the_end = model.hashes(_END)[0][0]
 
     def write(parts: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         held = [p for p in parts if p.num_rows]
@@ -251,23 +270,36 @@ def _vocabulary(train: DataFrame, place: str) -> NgramModel:
         for b in np.unique(where).tolist():
             mine = where == b
             put_arrays(f"{place}/1-{b}", count=n[mine], check=checks[mine], **EliasFano.of(hashes[mine]).arrays("hashes"))
-            for piece in np.array_split(n[mine], min(256, int(mine.sum()))):
-                yield {"bucket": [b], "words": [len(piece)], "tokens": [int(piece.sum())]}
-
-    # rows at the driver: at most 256 for 400,000 words
+            end = np.flatnonzero(hashes[mine] == the_end)
+            if len(end):  # one end a text
+                yield {"bucket": [-1], "words": [0], "tokens": [int(n[mine][end[0]])]}
+            own = np.flatnonzero(n[mine] > range_tokens // 4)
+            cut = np.unique(np.concatenate([own, own + 1, np.linspace(0, mine.sum(), min(256, int(mine.sum())) + 1).astype(np.int64)]))
+            for begin, stop in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                yield {"bucket": [b], "words": [stop - begin], "tokens": [int(n[mine][begin:stop].sum())]}
+
+    # rows at the driver: at most 256 for 400,000 words, and two for each word with many tokens
     pieces = over_chunks(counted.select("hash", "n", "c", bucket.alias("bucket")).repartition("bucket"), write, "bucket long, words long, tokens long", limit=0).collect()
     remove(f"{place}/words{model.seed}")
-    ids, size = 0, 0
-    parts = max(1, model.tokens // 2_000_000)
-    model.shards = [0]
-    for r in sorted(pieces, key=lambda r: r.bucket):  # sorted() is stable, so a file's pieces stay in order
+    starts = sum(r.tokens for r in pieces if r.bucket < 0)
+    pieces = sorted((r for r in pieces if r.bucket >= 0), key=lambda r: r.bucket)  # sorted() is stable, so a file's pieces stay in order
+    words_before, tokens_before = (np.cumsum([0, *(r[c] for r in pieces)]) for c in ("words", "tokens"))
+    for r, first in zip(pieces, words_before.tolist(), strict=False):
         if not model.buckets or model.buckets[-1] != r.bucket:
             model.buckets.append(r.bucket)
-            model.first.append(ids)
-        ids, size = ids + r.words, size + r.tokens
-        if size * parts >= model.tokens * len(model.shards) and len(model.shards) < parts:
-            model.shards.append(ids)
-    model.shards = sorted({*model.shards, ids + 1} if ids else {0, 1})
+            model.first.append(first)
+    ranges_, size = [(0, 0)], 0
+    for first, n_words, tokens in [*((f, r.words, r.tokens) for f, r in zip(words_before.tolist(), pieces, strict=False)), (model.vocabulary, 1, starts)]:
+        if size and size + tokens > range_tokens:
+            ranges_.append((first, 0))
+            size = 0
+        size += tokens
+        parts = -(-tokens // range_tokens) if n_words == 1 else 1
+        # a word that begins many pairs: ranges of second words with about as many tokens each
+        seconds = np.interp(np.arange(1, parts) * model.tokens / parts, tokens_before, words_before).astype(np.int64)
+        ranges_ += [(first, x) for x in np.unique(seconds).tolist() if x > 0]
+    model.first_of, model.second_of = map(list, zip(*ranges_, strict=True))
+    model.earlier = [0] * len(ranges_)
     return model
 
 
@@ -325,17 +357,17 @@ def _counted(rows: DataFrame, model: NgramModel, level: int) -> DataFrame:
 
         for _, ids, before, begin in _streams(batches, model):
             if level == 2:
-                shard, key = model.shard(before), before << 32 | ids
+                shard, key = model.shard(before, ids), before << 32 | ids
             else:
                 nodes, place = model.pairs(before, ids)
                 node, first = _second(begin, nodes, before)
                 both = np.flatnonzero((node >= 0) & (nodes >= 0))
-                shard, key = model.shard(first[both]), node[both] << 32 | place[both]
+                shard, key = model.shard(first[both], before[both]), node[both] << 32 | place[both]
             for s, mine in _each(shard):
                 sorted_ = np.sort(key[mine])
                 new = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
-                # the first word of a pair within its shard
-                held.setdefault(s, []).append((sorted_[new] - ((model.shards[s] << 32) if level == 2 else 0), np.diff(np.append(new, len(sorted_)))))
+                # the first word of a pair within its range
+                held.setdefault(s, []).append((sorted_[new] - ((model.first_of[s] << 32) if level == 2 else 0), np.diff(np.append(new, len(sorted_)))))
                 size += len(new)
             if size >= 3_000_000:
                 yield flush()
@@ -373,10 +405,12 @@ def _joined(blobs: DataFrame, work) -> DataFrame:
             while len(mine) > 1:
                 mine[-2:] = [_merged(*mine[-2:])]
             key, n = mine.pop()
-            yield {"shard": [s], "once": [int((n == 1).sum())], "twice": [int((n == 2).sum())]}
+            # of the contexts at the edges, which other ranges may have too: occurrences and kinds
+            edge = [{"context": c, "n": int(n[b:e].sum()), "kinds": e - b} for c in {int(key[0] >> 32), int(key[-1] >> 32)} for b, e in [np.searchsorted(key, [c << 32, (c + 1) << 32]).tolist()]]
+            yield {"shard": [s], "once": [int((n == 1).sum())], "twice": [int((n == 2).sum())], "edge": [edge]}
             work(s, key, n)
 
-    return over_chunks(blobs.repartition("shard"), run, "shard int, once long, twice long", limit=0)
+    return over_chunks(blobs.repartition("shard"), run, "shard int, once long, twice long, edge array<struct<context: long, n: long, kinds: long>>", limit=0)
 
 
 def _discount(rows: list) -> float:
@@ -384,12 +418,13 @@ def _discount(rows: list) -> float:
     return min(0.95, max(0.3, once / max(1, once + 2 * twice)))
 
 
-def fit(docs: DataFrame, folds: int = 10, place: str | None = None) -> tuple[NgramModel, DataFrame]:
-    """Learns from rows whose crc32(doc_id) mod ``folds`` isn't 0. Returns the model and all texts as ids."""
+def fit(docs: DataFrame, folds: int = 10, place: str | None = None, range_tokens: int = 2_000_000) -> tuple[NgramModel, DataFrame]:
+    """Learns from rows whose crc32(doc_id) mod ``folds`` isn't 0. Returns the model and all texts as ids.
+    ``range_tokens``: about so many tokens' pairs and triples are one task's; it changes nothing else."""
     spark = docs.sparkSession
     place = place or shared_dir(spark)
     docs = keyed_text(docs).withColumn("held_out", remainder("doc_id", folds) == 0)
-    model = _vocabulary(docs.where("not held_out"), place)
+    model = _vocabulary(docs.where("not held_out"), place, range_tokens)
     _encoded(docs, model).write.option("compression", "zstd").parquet(f"{place}/ids")
     rows = spark.read.parquet(f"{place}/ids")
 
@@ -401,13 +436,23 @@ def fit(docs: DataFrame, folds: int = 10, place: str | None = None) -> tuple[Ngr
         return raw | dict(zip(("key", "n"), _unpacked(raw["key"].tobytes(), raw["n"].tobytes()), strict=True))
 
     def pairs(shard: int, key: np.ndarray, n: np.ndarray) -> None:
-        width = model.shards[shard + 1] - model.shards[shard]
         context = key >> 32
-        total = np.bincount(context, n, width).astype(np.int64)
+        total = np.bincount(context, n, model.width(shard)).astype(np.int64)
         put_counts(f"{place}/counts2/{shard}", key, n, total=total)
 
-    discount = _discount(_joined(_counted(rows, model, 2), pairs).collect())
-    shards = spark.createDataFrame([(s,) for s in range(len(model.shards) - 1)], "shard int").repartition(len(model.shards) - 1, "shard")
+    counted = _joined(_counted(rows, model, 2), pairs).collect()
+    discount = _discount(counted)
+    split = {f for f, x in zip(model.first_of, model.second_of, strict=True) if x}
+    edges = {r.shard: r.edge for r in counted}
+    wide: dict[int, tuple[int, int]] = {}  # occurrences and kinds of pairs that begin with a word of several ranges
+    for s, (f, x) in enumerate(zip(model.first_of, model.second_of, strict=True)):
+        model.earlier[s] = wide.get(f, (0, 0))[1] if x else 0
+        for e in edges.get(s, ()):
+            if (word := e.context + f) in split:
+                n, kinds = wide.get(word, (0, 0))
+                wide[word] = n + e.n, kinds + e.kinds
+    n_ranges = len(model.first_of)
+    shards = spark.createDataFrame([(s,) for s in range(n_ranges)], "shard int").repartition(n_ranges, "shard")
 
     def level2(parts: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for part in parts:
@@ -415,10 +460,15 @@ def fit(docs: DataFrame, folds: int = 10, place: str | None = None) -> tuple[Ngr
                 try:
                     raw = get_counts(f"{place}/counts2/{s}")
                 except FileNotFoundError:  # no text has a word of this range
-                    raw = {"key": np.zeros(0, np.int64), "n": np.zeros(0, np.int64), "total": np.zeros(model.shards[s + 1] - model.shards[s], np.int64)}
-                context, word, n, total = raw["key"] >> 32, raw["key"] & 0xFFFFFFFF, raw["n"], raw["total"]
+                    raw = {"key": np.zeros(0, np.int64), "n": np.zeros(0, np.int64), "total": np.zeros(model.width(s), np.int64)}
+                context, word, n, total = raw["key"] >> 32, raw["key"] & 0xFFFFFFFF, raw["n"], raw["total"].copy()
+                shared = {c: wide[c + model.first_of[s]] for c in {0, len(total) - 1} if c + model.first_of[s] in wide}
+                for c, (all_, _) in shared.items():
+                    total[c] = all_
                 share = (n - discount) / np.maximum(1, total[context])
                 rest = 1 - np.bincount(context, share, len(total))
+                for c, (all_, kinds) in shared.items():
+                    rest[c] = discount * kinds / all_
                 p = share + rest[context] * 10 ** model.unigram(model.counts(word))
                 put_arrays(f"{place}/2-{s}", p=_quantised(np.log10(p)), rest=_quantised(np.log10(np.clip(rest, 1e-9, 1))), n=n.astype(np.uint32 if n.max(initial=0) < 1 << 32 else np.int64), **Successors.arrays("next", len(total), context, word))
                 yield {"shard": [s]}
@@ -449,11 +499,10 @@ def fit(docs: DataFrame, folds: int = 10, place: str | None = None) -> tuple[Ngr
                 base = np.where(begin[context] > 0, next2.values.access(np.maximum(begin[context] - 1, 0)), np.uint64(0)) if len(node) else np.zeros(0, np.uint64)
                 second = (next2.values.access(node) - base - np.uint64(1)).astype(np.int64)
                 lower = np.zeros(len(node))
-                where = model.shard(second)
-                for t in np.unique(where).tolist():
-                    mine = np.flatnonzero(where == t)
-                    start = _successors(place, 2, t).pointers.access(second[mine] - model.shards[t]).astype(np.int64)
-                    lower[mine] = _value(model.level(2, t)["p"][start + place3[mine]])
+                where, inner = model.shard_of_place(second, place3)
+                for t, mine in _each(where):
+                    start = _successors(place, 2, t).pointers.access(second[mine] - model.first_of[t]).astype(np.int64)
+                    lower[mine] = _value(model.level(2, t)["p"][start + inner[mine]])
                 p = share + rest[node] * 10**lower
                 put_arrays(f"{place}/3-{s}", p=_quantised(np.log10(np.minimum(p, 1))), rest=_quantised(np.log10(rest)), **Successors.arrays("next", len(total), node, place3))
                 yield {"shard": [s]}
@@ -469,18 +518,18 @@ def token_scores(model: NgramModel, ids: np.ndarray, before: np.ndarray, begin:
     node, first = _second(begin, nodes, before)
     score, open_ = np.zeros(len(ids)), np.ones(len(ids), bool)
     # the longest context that has the word decides; on the way there, what it leaves to shorter ones
-    for s, mine in _each(np.where(node >= 0, model.shard(np.maximum(first, 0)), -1)):
+    for s, mine in _each(np.where(node >= 0, model.shard(first, before), -1)):
         three = model.level(3, s)
         at = np.full(len(mine), -1, np.int64)
         pair = np.flatnonzero(nodes[mine] >= 0)
         at[pair], _ = _successors(model.place, 3, s).find(node[mine[pair]], place[mine[pair]])
         score[mine] = _value(np.where(at >= 0, three["p"][at] if len(three["p"]) else 0, three["rest"][node[mine]]))
         open_[mine[at >= 0]] = False
-    for s, mine in _each(np.where(open_ & (before >= 0), model.shard(np.maximum(before, 0)), -1)):
+    for s, mine in _each(np.where(open_, model.shard(before, ids), -1)):
         two = model.level(2, s)
         seen = nodes[mine] >= 0
         score[mine[seen]] += _value(two["p"][nodes[mine[seen]]])
-        score[mine[~seen]] += _value(two["rest"][before[mine[~seen]] - model.shards[s]])
+        score[mine[~seen]] += _value(two["rest"][before[mine[~seen]] - model.first_of[s]])
     rest = np.flatnonzero(open_ & (nodes < 0))
     score[rest] += model.unigram(model.counts(ids[rest]))
     return score

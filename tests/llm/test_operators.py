@@ -501,8 +501,12 @@ def test_successors_in_short_and_long_ranges():
         words_ = words_ % (1 << 12)
 
 
-def test_language_model_holds_every_ngram(docs, rows):
-    model, encoded = ngram_lm.fit(docs)
+@pytest.mark.parametrize("range_tokens", [2_000_000, 300, 40])
+def test_language_model_holds_every_ngram(docs, rows, range_tokens):
+    """Against a model that counts by hand; short ranges cut the pairs of a frequent word, and of a text's start, into several."""
+    model, encoded = ngram_lm.fit(docs, range_tokens=range_tokens)
+    if range_tokens < 1000:
+        assert len(model.first_of) > 10 and sum(x > 0 for x in model.second_of) > 3 and max(model.earlier) > 0 and (range_tokens > 40 or model.first_of.count(model.vocabulary) > 1)
     words = {i: ["", *WORD.findall((t or "").translate(LOW)), "\n"] for i, t in rows}
     train = [w for i, w in words.items() if zlib.crc32(str(i).encode()) % 10]
     one, two, three = Counter(x for w in train for x in w[1:]), Counter(), Counter()
