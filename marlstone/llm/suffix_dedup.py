@@ -78,7 +78,7 @@ class Segments:
         new = np.flatnonzero(np.concatenate([[True], (value[1:] != value[:-1]) | (window[1:] != window[:-1] + 1)]))
         self.first, self.last = window[new], window[np.append(new[1:], len(window)) - 1]
         self.anchor = (value[new] & low).astype(np.int64)
-        self.key = x[self.anchor]
+        self.key = mix(x[self.anchor])  # least hashes are small ones; mixed, they spread evenly over ranges
         self._name()
 
     def _name(self) -> None:
