@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.engine import Engine
+from marlstone.errors import QueryEvalError
 
 #: name -> (request, DuckDB's SQL; None: the same text)
 SELECTS: dict[str, tuple[str, str | None]] = {
@@ -164,14 +165,44 @@ def split_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.execute("SELECT o_orderkey FROM orders WHERE o_orderkey > 100").named()
 
 
+def batch_script(spark: SparkSession, sf_dir: str) -> DataFrame:
+    script = "CREATE TABLE t (k INT PRIMARY KEY, v INT);\n-- Separate\nINSERT INTO t (k, v) VALUES (1, 5), (2, 7);\n-- separate\nUPDATE t SET v = v * k; SELECT k, v, r_name FROM t JOIN region ON k = r_regionkey"
+    return list(Engine.over(spark, sf_dir).run_script(script))[-1].named()
+
+
+def counted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Engine.over(spark, sf_dir).execute("SELECT n_regionkey, n_regionkey * 0 FROM nation").counted().withColumnRenamed("<nameless>", "zero")
+
+
+def older_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = Engine.over(spark, sf_dir)
+    engine.execute("UPDATE nation SET n_regionkey = 9 WHERE n_nationkey > 3")
+    engine.execute("DELETE FROM nation WHERE n_regionkey = 9")
+    return engine.execute("SELECT n_nationkey, n_regionkey FROM nation", at=1).named()
+
+
+def failed_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is there after a request that a row of the data made fail."""
+    engine = Engine.over(spark, sf_dir)
+    try:
+        engine.execute("DELETE FROM region; UPDATE nation SET n_regionkey = 10 / (n_nationkey - 7)")
+    except QueryEvalError:
+        pass
+    return engine.execute("SELECT n_nationkey, n_regionkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey").named()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {k: _select(t) for k, (t, _) in SELECTS.items()} | {k: _script(r) for k, (r, _) in SCRIPTS.items()}
-    return out | {"describe_tables": describe_tables, "split_scan": split_scan}
+    return out | {"describe_tables": describe_tables, "split_scan": split_scan, "batch_script": batch_script, "counted_rows": counted_rows, "older_version": older_version, "failed_change": failed_change}
 
 
 def oracle_sql() -> dict[str, str]:
     out = {k: s or t for k, (t, s) in SELECTS.items()} | {k: s for k, (_, s) in SCRIPTS.items()}
     return out | {
         "describe_tables": "SELECT * FROM (VALUES ('r_regionkey', 'int', TRUE), ('r_name', 'string', FALSE)) v(\"column\", type, is_key)",
+        "batch_script": "SELECT k, v, r_name FROM (VALUES (1, 5), (2, 14)) t(k, v) JOIN region ON k = r_regionkey",
+        "counted_rows": "SELECT COUNT(*) AS count, n_regionkey, 0 AS zero FROM nation GROUP BY n_regionkey",
+        "older_version": "SELECT n_nationkey, CASE WHEN n_nationkey > 3 THEN 9 ELSE n_regionkey END AS n_regionkey FROM nation",
+        "failed_change": "SELECT n_nationkey, n_regionkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey",
         "split_scan": "SELECT o_orderkey FROM orders WHERE o_orderkey > 100",
     }
