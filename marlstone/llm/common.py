@@ -7,6 +7,7 @@ that runs twice writes the same bytes to the same name.
 
 from __future__ import annotations
 
+import gc
 import io
 import os
 import tempfile
@@ -122,6 +123,12 @@ def forget(prefix: str) -> None:
         del _cached[key]
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps that are done: its cleaner waits until the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     """The number of partitions for steps whose work isn't told by their bytes."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

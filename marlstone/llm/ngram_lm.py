@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import cached, chunks, get_arrays, keyed_text, over_chunks, put_arrays, remainder, remove, shared_dir, string_bytes, words
+from marlstone.llm.common import cached, chunks, get_arrays, keyed_text, over_chunks, put_arrays, release, remainder, remove, shared_dir, string_bytes, words
 from marlstone.llm.eliasfano import EliasFano
 
 #: No word holds white space, so this names the end of a text.
@@ -425,6 +425,7 @@ def fit(docs: DataFrame, folds: int = 10, place: str | None = None, range_tokens
     place = place or shared_dir(spark)
     docs = keyed_text(docs).withColumn("held_out", remainder("doc_id", folds) == 0)
     model = _vocabulary(docs.where("not held_out"), place, range_tokens)
+    release(spark)
     _encoded(docs, model).write.option("compression", "zstd").parquet(f"{place}/ids")
     rows = spark.read.parquet(f"{place}/ids")
 
@@ -441,6 +442,7 @@ def fit(docs: DataFrame, folds: int = 10, place: str | None = None, range_tokens
         put_counts(f"{place}/counts2/{shard}", key, n, total=total)
 
     counted = _joined(_counted(rows, model, 2), pairs).collect()
+    release(spark)
     discount = _discount(counted)
     split = {f for f, x in zip(model.first_of, model.second_of, strict=True) if x}
     edges = {r.shard: r.edge for r in counted}
@@ -480,6 +482,7 @@ def fit(docs: DataFrame, folds: int = 10, place: str | None = None, range_tokens
         put_counts(f"{place}/counts3/{shard}", key, n)
 
     discount3 = _discount(_joined(_counted(rows, model, 3), triples).collect())
+    release(spark)
 
     def level3(parts: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for part in parts:
