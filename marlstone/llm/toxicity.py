@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.common import filled_text, keep_rows, keyed_text, over_chunks, per_chunk, remainder, words
 
+#: Of the confirmed toxic texts, so many have a feature that takes part.
+LEAST = 3
 _STRIP = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
 
@@ -64,7 +66,7 @@ class ToxicityModel:
         return score
 
 
-def nn_pu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 250, rate: float = 0.05, decay: float = 1e-3, least: int = 3, share: float = 0.3, z: float = 3) -> ToxicityModel:
+def nn_pu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 250, rate: float = 0.05, decay: float = 1e-3, least: int = LEAST, share: float = 0.3, z: float = 3) -> ToxicityModel:
     """Fits a linear scorer on feature sets by the non-negative risk estimator (full batches, Adam).
 
     A feature takes part if at least ``least`` positive texts have it, if by the class prior at least
@@ -120,22 +122,35 @@ def _split(gp: np.ndarray, gu: np.ndarray, prior: float) -> float:
     return float(middle[best[np.argmax(gaps[best])]])
 
 
-def _sets(rows: DataFrame, only: np.ndarray | None = None) -> list[np.ndarray]:
-    """The feature sets of a bounded number of texts; with ``only``, of these (ascending) features."""
+def _of_texts(texts: pa.Array, only: set[int] | None = None) -> list[set[int]]:
+    """Each text's features."""
+    distinct, code, counts = words(pc.utf8_lower(texts))
+    each = [features(w) if only is None else features(w) & only for w in distinct.to_pylist()]
+    ends = np.cumsum(counts).tolist()
+    return [set().union(*(each[c] for c in set(code[e - n : e].tolist()))) for e, n in zip(ends, counts.tolist(), strict=True)]
+
+
+def _shared(rows: DataFrame, least: int) -> np.ndarray:
+    """The features that at least ``least`` of the texts have, ascending."""
 
     def make():
         def run(part: pa.RecordBatch) -> dict:
-            distinct, code, counts = words(pc.utf8_lower(part.column("text")))
-            each = [features(w) for w in distinct.to_pylist()]
-            if only is not None:
-                listed = set(only.tolist())
-                each = [f & listed for f in each]
-            ends = np.cumsum(counts).tolist()
-            out = [np.array(sorted(set().union(*(each[c] for c in set(code[e - n : e].tolist())))), "<u4").tobytes() for e, n in zip(ends, counts.tolist(), strict=True)]
-            return {"features": out}
+            name, n = np.unique(np.array([f for s in _of_texts(part.column("text")) for f in s], np.int64), return_counts=True)
+            return {"feature": name, "n": n}
 
         return run
 
+    counted = per_chunk(rows, make, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return np.sort(np.array([r.feature for r in counted.select("feature").toLocalIterator()], np.int64))
+
+
+def _sets(rows: DataFrame, only: np.ndarray) -> list[np.ndarray]:
+    """The feature sets of a bounded number of texts, of the features in ``only``."""
+
+    def make():
+        listed = set(only.tolist())
+        return lambda part: {"features": [np.array(sorted(s), "<u4").tobytes() for s in _of_texts(part.column("text"), listed)]}
+
     return [np.frombuffer(r.features, "<u4").astype(np.int64) for r in per_chunk(rows, make, "features binary").toLocalIterator()]
 
 
@@ -154,10 +169,11 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, most_positive: int =
     prior = min(0.9, max(0.001, count.bad / count.n))
     order = F.xxhash64("doc_id")
     toxic = known.where("bad").select("doc_id").distinct().orderBy(order, "doc_id").limit(most_positive)
-    positive = _sets(train.join(F.broadcast(toxic), "doc_id", "left_semi"))
-    names, seen = np.unique(np.concatenate([np.zeros(0, np.int64), *positive]), return_counts=True)
+    toxic_texts = train.join(F.broadcast(toxic), "doc_id", "left_semi")
+    names = _shared(toxic_texts, LEAST)  # nn_pu leaves the others out; so the driver gets short sets, however long the texts are
+    positive = _sets(toxic_texts, names)
     chosen = train.select("doc_id").dropna().orderBy(order, "doc_id").limit(most_unlabelled).distinct()
-    unlabelled = _sets(train.join(F.broadcast(chosen), "doc_id", "left_semi"), names[seen >= 3])
+    unlabelled = _sets(train.join(F.broadcast(chosen), "doc_id", "left_semi"), names)
     return nn_pu(positive, unlabelled, prior) if positive and unlabelled else ToxicityModel({}, -1000.0)
 
 
