@@ -6,8 +6,9 @@ across their border comes before the merges that built them; numpy tests all pai
 once. Only words that fail are merged exactly, many at a time. Distinct words alone are encoded.
 
 Defined cases: a null or empty text has no ids and decodes to an empty text; special tokens in a
-text become their ids; repeated rows are encoded alike; an empty table gives no rows; columns other
-than doc_id and text are not read.
+text become their ids; repeated rows are encoded alike, rows with one doc_id or none too; ties can't
+occur; a very long text is a chunk of its own; an empty table gives no rows; columns other than
+doc_id and text are not read.
 """
 
 from __future__ import annotations

@@ -12,8 +12,9 @@ list, spread over tasks.
 
 Defined cases: a null or empty text, or one without words, has no shingles and no links; with fewer
 words than a shingle has the whole sequence is one; rows with equal doc_ids are separate rows of one
-number; ties can't occur (a component's number is its smallest doc_id); an empty table gives no rows;
-columns other than doc_id and text are not read.
+number; ties can't occur (a component's number is its smallest doc_id, null where all are); a very
+long text is a chunk of its own; an empty table gives no rows; columns other than doc_id and text are
+not read.
 """
 
 from __future__ import annotations

@@ -12,8 +12,9 @@ n-gram of it is stored, those that occur once too, and single words have the add
 also serves as the base score.
 
 Defined cases: a null or empty text is one end token; without any training row all words are unknown
-and every score is 0; repeated rows count each; an empty table gives no rows; columns other than
-doc_id and text are not read.
+and every score is 0; repeated rows count each; a null doc_id is in the training part if the crc32 of
+an empty text is; ties can't occur; a very long text is a chunk of its own; an empty table gives no
+rows; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations

@@ -7,7 +7,9 @@ goes there at once. The plan is what placing piece by piece would give; its size
 ``capacity`` alone. Each piece's rank among its equals then says where it lies, in parallel.
 
 Defined cases: a null or empty text is its end token; rows with the same doc_id are packed each for
-itself; an empty table gives no rows; columns other than doc_id and text are not read.
+itself, those without one too; pieces as long as each other are placed by their task and their place
+in it, open sequences with as much space by when they were opened; a very long text is a chunk of its
+own; an empty table gives no rows; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations

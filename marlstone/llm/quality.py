@@ -5,7 +5,8 @@ each length the rule measures which share of a text's word characters lies in n-
 document has had before. The same is done for lines. A text goes when a share passes its limit.
 
 Defined cases: a null or empty text has no words and fails the base rule; repeated rows are judged
-alike; an empty table gives no rows; columns other than doc_id and text are not read.
+alike, rows with one doc_id or none too; ties can't occur; a very long text is a chunk of its own; an
+empty table gives no rows; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations

@@ -6,8 +6,9 @@ sequences: document i starts at ``boundaries.access(i)``, and the document that
 by successor search. Files are memory-mapped where they are read. Their names ascend with doc_id.
 
 Defined cases: a null or empty text is its end token; equal doc_ids lie side by side in the order of
-their texts; a null doc_id counts as the smallest value; an empty table gives no rows; columns other
-than doc_id and text are not read.
+their texts; a null doc_id counts as the smallest value and comes back as null; a very long text is a
+chunk and may be a file of its own; an empty table gives no rows; columns other than doc_id and text
+are not read.
 """
 
 from __future__ import annotations
