@@ -129,8 +129,8 @@ class SortedFiles:
         """``rows``: key, ``columns`` of small integers, and ``data``, a column of bytes. A file has about ``each`` rows."""
         rows.write.option("parquet.block.size", 8 << 20).parquet(f"{place}/rows")
         rows = rows.sparkSession.read.parquet(f"{place}/rows")
-        bits = max(0, (rows.count() // each).bit_length())
-        bucket = F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0).cast("long")
+        bits = max(4, (rows.count() // each).bit_length())  # several files at least, so no task writes all
+        bucket = F.shiftrightunsigned("key", 64 - bits)
 
         def run(parts: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             def file(b: int, held: list[pa.RecordBatch]) -> None:
