@@ -113,22 +113,27 @@ def aggregate_type(name: str, t: str, own: bool = False) -> str:
 
 def aggregate(name: str, x: Column, t: str, distinct: bool, out: str) -> Column:
     """An aggregate as its type ``out``; one that doesn't fit fails."""
-    value = _aggregate(name, x, t, distinct)
+    x = x.cast("int") if t == NULL and name != "COUNT" else x
+    n = F.count_distinct(x) if distinct else F.count(x)
+    total = None if name == "COUNT" else F.sum_distinct(x) if distinct else F.sum(x)
+    return finished(name, total, n, t, out)
+
+
+def finished(name: str, total: Column | None, n: Column | None, t: str, out: str) -> Column:
+    """An aggregate from the sum and the number of its values."""
+    value = _finished(name, total, n, t)
     if out != "int":
         return value
     fits = value.isNull() | value.between(-(1 << 31), (1 << 31) - 1)
     return F.when(fits, value).otherwise(F.raise_error(F.lit(AGGREGATE_SIZE)).cast("bigint")).cast("int")
 
 
-def _aggregate(name: str, x: Column, t: str, distinct: bool) -> Column:
+def _finished(name: str, total: Column | None, n: Column | None, t: str) -> Column:
     """AVG of whole numbers is their sum divided by their number, towards zero."""
     if name == "COUNT":
-        return F.count_distinct(x) if distinct else F.count(x)
-    x = x.cast("int") if t == NULL else x
-    total = F.sum_distinct(x) if distinct else F.sum(x)
+        return n
     if name == "SUM":
         return total
-    n = F.count_distinct(x) if distinct else F.count(x)
     if is_whole(t) or t == NULL:
         return F.call_function("div", total, F.nullif(n, F.lit(0).cast("bigint")))
     return total / F.nullif(n, F.lit(0).cast("bigint"))

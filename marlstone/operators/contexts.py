@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from marlstone import errors
 from marlstone.functions import scalar
+from marlstone.operators import running
 from marlstone.plans import ast
 from marlstone.plans.bind import BoundJoin, BoundQuery, Column, Leaf, references, subqueries
 
@@ -209,6 +210,8 @@ class Lowering:
     def query(self, q: BoundQuery, bindings: DataFrame | None) -> DataFrame:
         """The query's output columns, with ``bindings`` (exactly the outer columns it uses, distinct) for each of these."""
         keys = sorted(q.free)
+        if q.aggregates and keys and not self._needs(q.source, q.free) and (shape := running.shape(q)):
+            return self._for_each(q, bindings, self._running(q, shape, bindings))
         df = self.filtered(self.source(q.source, bindings if keys else None), q.where)
         exprs = [e for e, _ in q.items]
         df, known = self.attach(df, exprs)
@@ -218,12 +221,18 @@ class Lowering:
         elif not keys:
             df = df.agg(*made)
         else:
-            groups = df.groupBy(*keys).agg(*made)
-            renamed = {k: fresh("k") for k in keys}
-            groups = groups.select(*(F.col(k).alias(r) for k, r in renamed.items()), *(c.internal for c in q.out))
-            df = bindings.join(groups, all_true([F.col(k).eqNullSafe(F.col(r)) for k, r in renamed.items()]), "left")
-            counts = {c.internal: c.type for e, c in q.items if e.name == "COUNT"}
-            df = df.select(*keys, *(F.coalesce(c.internal, F.lit(0)).cast(counts[c.internal]).alias(c.internal) if c.internal in counts else F.col(c.internal) for c in q.out))
+            df = self._for_each(q, bindings, df.groupBy(*keys).agg(*made))
         return df.distinct() if q.distinct else df
 
+    def _running(self, q: BoundQuery, shape: running.Shape, bindings: DataFrame) -> DataFrame:
+        rows = self.filtered(self.source(q.source, None), shape.mine)
+        return running.totals(q, shape, rows, self.filtered(bindings, shape.theirs), lambda e: self.column(e, {}), fresh)
 
+    def _for_each(self, q: BoundQuery, bindings: DataFrame, groups: DataFrame) -> DataFrame:
+        """Aggregates of all bindings from those of the ones that have rows."""
+        keys = sorted(q.free)
+        renamed = {k: fresh("k") for k in keys}
+        groups = groups.select(*(F.col(k).alias(r) for k, r in renamed.items()), *(c.internal for c in q.out))
+        df = bindings.join(groups, all_true([F.col(k).eqNullSafe(F.col(r)) for k, r in renamed.items()]), "left")
+        counts = {c.internal: c.type for e, c in q.items if e.name == "COUNT"}
+        return df.select(*keys, *(F.coalesce(c.internal, F.lit(0)).cast(counts[c.internal]).alias(c.internal) if c.internal in counts else F.col(c.internal) for c in q.out))
