@@ -90,7 +90,7 @@ def test_inequality_alone(engine):
     assert got == [(i, N * (N - 1) // 2 - i * (i + 1) // 2 if i < N - 1 else None) for i in range(N)]
 
 
-@pytest.mark.parametrize("kind", ["LEFT"])
+@pytest.mark.parametrize("kind", ["LEFT", "FULL"])
 def test_on_of_outer_joins(engine, kind):
     """As join_on_subquery_left_both and join_on_subquery_full_both ask; by pairs it takes minutes."""
     got = within(engine, f"SELECT A.x, o_k FROM (SELECT m_g AS x FROM m WHERE m_k = 7) AS A {kind} JOIN o ON o_g = A.x AND (SELECT COUNT(m_k) FROM m WHERE m_g = A.x AND m_k < o_k * 10) > 1000")
