@@ -177,12 +177,13 @@ def totals(q: BoundQuery, s: Shape, rows: DataFrame, bindings: DataFrame, column
     ends = lines.where(F.col(kind) == row).groupBy(*keys, place).agg(*(F.sum(name).cast(t).alias(name) for name, (_, t) in parts.items()))
     end = fresh("e")
     if op in ("<", "<="):
-        ends = before(ends, end, F.struct(*keys), lambda limit, x: limit["group"] <= x).where(F.col(place) < F.col(end))
-        later = F.sequence(F.col(place) + 1, F.col(end))
+        ends = before(ends, end, F.struct(*keys), lambda limit, x: limit["group"] <= x)
+        later = F.when(F.col(place) < F.col(end), F.sequence(F.col(place) + 1, F.col(end)))
     else:
-        ends = before(ends, end, F.struct(*keys), lambda limit, x: limit["group"] < x).where(F.col(place) > F.col(end))
-        later = F.sequence(F.col(end), F.col(place) - 1)
-    ends = ends.withColumn(place, F.explode(later))
+        ends = before(ends, end, F.struct(*keys), lambda limit, x: limit["group"] < x)
+        later = F.when(F.col(place) > F.col(end), F.sequence(F.col(end), F.col(place) - 1))
+    # a condition on ``end``, one that explode() implies too, would move before the search and write out all its steps, each twice in the next
+    ends = ends.withColumn(place, F.explode_outer(later)).where(F.col(place).isNotNull())
     carried = ends.select(*keys, F.lit(None).cast(s.bound.type).alias(value), F.lit(_CARRIED).alias(kind), *nothing, *parts, place)
 
     order = F.col(value).asc_nulls_last() if op in ("<", "<=") else F.col(value).desc_nulls_last()

@@ -95,3 +95,13 @@ def test_on_of_outer_joins(engine, kind):
     """As join_on_subquery_left_both and join_on_subquery_full_both ask; by pairs it takes minutes."""
     got = within(engine, f"SELECT A.x, o_k FROM (SELECT m_g AS x FROM m WHERE m_k = 7) AS A {kind} JOIN o ON o_g = A.x AND (SELECT COUNT(m_k) FROM m WHERE m_g = A.x AND m_k < o_k * 10) > 1000")
     assert got == [(1, i) for i in range(101, N)] + ([(None, i) for i in range(101)] if kind == "FULL" else [])
+
+
+def test_spark_compiles_every_stage(engine, spark):
+    """A condition on the search's outcome, moved before it, becomes a method too long to compile."""
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        got = engine.execute("SELECT A.x, o_k FROM (SELECT m_g AS x FROM m WHERE m_k = 7) AS A FULL JOIN o ON o_g = A.x AND (SELECT COUNT(m_k) FROM m WHERE m_g = A.x AND m_k < o_k * 10) > 1000").collect()
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+    assert len(got) == N
